@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import found
+from . import found, text
 
-_MODULES = (found,)
+_MODULES = (text, found)
 
 
 def all_queries() -> dict:
