@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import found, text
+from . import analysis, found, store, text
 
-_MODULES = (text, found)
+_MODULES = (text, store, analysis, found)
 
 
 def all_queries() -> dict:
