@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import io
-import os
 import shutil
 import tempfile
 import uuid
@@ -50,6 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[sc.applicationId]
 
 
+def filesystem(uri: str):
+    """(file system, path) of a URI or local path, as the workers' Python sees it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/inkstone/{name}-{uuid.uuid4().hex}"
 
@@ -84,10 +90,16 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*")):
             if path.suffix in (".py", ".txt", ".tsv", ".json"):
                 z.write(path, path.relative_to(root.parent))
-    folder = tempfile.mkdtemp(prefix="inkstone-ship-")
-    atexit.register(shutil.rmtree, folder, True)
-    target = os.path.join(folder, "inkstone_package.zip")
-    Path(target).write_bytes(buffer.getvalue())
+    try:
+        folder = shared_dir(spark)
+    except ValueError:  # a cluster without a shared folder: the driver hands the file out itself
+        folder = tempfile.mkdtemp(prefix="inkstone-ship-")
+        atexit.register(shutil.rmtree, folder, True)
+    target = f"{folder}/inkstone/package-{uuid.uuid4().hex}.zip"
+    system, path = filesystem(target)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(path, compression=None) as out:
+        out.write(buffer.getvalue())
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prefix import running_sum
-from ..session import scratch_path, spread, written
+from ..session import filesystem, scratch_path, spread, written
 
 #: Bytes of a file before compression, and of a frame within it.
 FILE_BYTES, FRAME_BYTES = 128 << 20, 1 << 20
@@ -93,12 +93,6 @@ _SCAN_NAMES = ["id", "run_id", "deleted", "file_no", "at", "place", "line"]
 _SCAN_TYPES = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.int32(), pa.string()]
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 @dataclass(frozen=True)
 class Consolidated:
     """Files written by consolidate: `index` has (path, id, run_id, file_no, line_no), `manifest` (path, records, raw_bytes, file_bytes, checksum)."""
@@ -126,8 +120,8 @@ def read_checked(manifest: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                system, path = _filesystem(row["path"])
-                with system.open_input_stream(path) as f:
+                system, path = filesystem(row["path"])
+                with system.open_input_stream(path, compression=None) as f:
                     data = f.read()
                 if len(data) != row["file_bytes"] or xxhash.xxh64_hexdigest(data) != row["checksum"]:
                     raise ValueError(f"{row['path']}: length or checksum differs")
@@ -175,9 +169,9 @@ def consolidate(records: DataFrame, target: str | None = None, file_bytes: int =
                 continue
             if out is None:
                 name = f"{folder}/part-{uuid.uuid4().hex}.ndjson.zst"
-                system, path = _filesystem(name)
+                system, path = filesystem(name)
                 system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                out = system.open_output_stream(path)
+                out = system.open_output_stream(path, compression=None)
             for line in batch.column(3).to_pylist():
                 data = line.encode() + b"\n"
                 pending += data
@@ -223,15 +217,15 @@ def concatenate_files(spark: SparkSession, source: str, pattern: str = "*", targ
         rows = sorted(parts.to_pylist(), key=lambda r: r["part"])
         packed = rows[0]["part"].endswith(".zst")
         name = f"{folder}/joined-{uuid.uuid4().hex}.{'zst' if packed else 'txt'}"
-        system, path = _filesystem(name)
+        system, path = filesystem(name)
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         check, size = xxhash.xxh64(), 0
-        with system.open_output_stream(path) as out:
+        with system.open_output_stream(path, compression=None) as out:
             for i, row in enumerate(rows):
                 if row["part"].endswith(".zst") != packed:
                     raise ValueError("compressed and plain files cannot be joined")
-                part_system, part_path = _filesystem(row["part"])
-                with part_system.open_input_stream(part_path) as f:
+                part_system, part_path = filesystem(row["part"])
+                with part_system.open_input_stream(part_path, compression=None) as f:
                     data = f.read()
                 if len(data) != row["bytes"]:
                     raise ValueError(f"{row['part']}: {len(data)} bytes, {row['bytes']} listed")

@@ -37,4 +37,5 @@ def decode_files(files: DataFrame, content: str = "content", path: str = "path")
 
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """decode_files of all files of a folder that fit the pattern; files of no byte have no row."""
     return decode_files(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder))

@@ -37,7 +37,10 @@ def once_per_document(docs: DataFrame, id: str, time: str, delay: str = "1 hour"
     return docs.withWatermark(time, delay).dropDuplicatesWithinWatermark([id])
 
 
-def term_trends(docs: DataFrame, words: str, time: str, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """(window, term, count) of streaming documents with an array of words; a window closes when the watermark has passed it."""
-    one = docs.withWatermark(time, delay).select(F.col(time).alias("t"), F.explode(words).alias("term"))
+def term_trends(docs: DataFrame, words: str, time: str, window: str = "1 day", delay: str | None = "1 hour") -> DataFrame:
+    """(window, term, count) of streaming documents with an array of words; a window closes when the watermark has passed it.
+
+    delay: None for a stream that has a watermark already.
+    """
+    one = (docs.withWatermark(time, delay) if delay else docs).select(F.col(time).alias("t"), F.explode(words).alias("term"))
     return one.groupBy(F.window("t", window).alias("window"), "term").agg(F.count("*").alias("count"))
