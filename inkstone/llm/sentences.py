@@ -19,11 +19,14 @@ from ..session import spread
 
 # Abbreviations that never end a sentence, by language.
 NEVER = {
-    "en": "mr mrs ms dr prof rev hon capt lt col gen sgt gov sen rep st mt vs fig figs eq no nos vol vols pp ed eds ch sec viz cf eg ie al approx dept est incl max min ref tel",
-    "de": "bzw ca vgl nr hr fr frl abb bd bde evtl ggf inkl sog str tel usf zzgl ggü mind dipl ing bspw geb gest jh mio mrd",
-    "fr": "mm mme mmes mlle mlles me mgr art chap env av fig ex réf vol bd",
-    "es": "sr sra sres srta dr dra drs ud uds vd vds pág págs núm art cap avda av ej fig lic ing prof gral ee aprox tel",
+    "en": "mr mrs ms dr prof rev hon capt lt col gen sgt gov sen rep st mt vs viz cf eg ie al approx dept incl",
+    "de": "bzw ca vgl hr fr frl bde evtl ggf inkl sog str usf zzgl ggü mind dipl bspw geb mio mrd",
+    "fr": "mm mme mmes mlle mlles mgr av env ex réf",
+    "es": "sra sres srta dra drs ud uds vd vds avda ej lic gral ee aprox",
+    "hi": "डॉ श्री श्रीमती प्रो पं कु",
 }
+# Abbreviations that do not end a sentence before a number.
+NUMBERED = "no nos nr fig figs abb vol vols eq pp ch chap cap sec art bd bde núm pág págs ed tel"
 # Abbreviations that can end a sentence; they do so before a capital.
 MAYBE = "etc usw inc ltd co corp jr sr bros plc llc gmbh uu dgl am pm a.m p.m u.s u.k u.n d.c ph.d b.c a.d kg km cm mm min std"
 DOTTED_MAYBE = "a.m p.m u.s u.k u.n d.c ph.d b.c a.d"
@@ -37,7 +40,9 @@ ORDINAL_DE = "am im der den dem des die das vom zum zur bis seit ab jeden jedem
 # Words with which a Chinese sentence goes on after a quotation or a bracket.
 GOES_ON_ZH = ("然后", "接着", "随后", "之后", "于是", "就", "便", "才", "又", "并", "的", "了", "是", "说", "问", "道", "也", "都", "却")
 
-_NEVER = {w for words in NEVER.values() for w in words.split()} - {"sr"}
+_NEVER = {w for words in NEVER.values() for w in words.split()}
+_NUMBERED = set(NUMBERED.split())
+_LIST_NUMBER = regex.compile(r"\d{1,3}[.)]\s+[\p{Lu}\p{Lo}]")
 _TITLES = {"sr"}
 _MAYBE = set(MAYBE.split()) | set(DOTTED_MAYBE.split())
 _COMPANY, _SHORT, _MONTHS, _DAYS, _ORDINAL = (set(x.split()) for x in (COMPANY, MONTHS_SHORT, MONTHS_DE, DAYS, ORDINAL_DE))
@@ -52,7 +57,7 @@ _ONLY_ELLIPSIS = regex.compile(r"(?:…|⋯|\.{2,}|．{2,}|。{2,})+")
 _PAIRS = regex.compile(r"[“”‘「」『』《》〈〉（）()\[\]【】〔〕«»„‚｢｣［］{}\"]")
 _CLOSERS = regex.compile(r"[\p{SB=Close}]*", regex.V1)
 _CONTINUES = regex.compile(r"[,，、;；:：]")
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}.'’_-]*$")
+_WORD = regex.compile(r"[[\p{L}\p{M}\p{N}.'’_\-]--[\p{Han}\p{Hiragana}\p{Katakana}]]*$", regex.V1)
 _NEXT_WORD = regex.compile(r"[\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 _THAI_GAP = regex.compile(r"(?<=[฀-๿])\s+(?=[฀-๿一-鿿぀-ヿऀ-ॿ])")
@@ -139,6 +144,8 @@ def _block_ends(block: str) -> Iterator[int]:
             letter += 1
         nx = block[letter] if letter < n else ""
         nx_script = _script(nx)
+        if nx.islower() and block[rest] in "—–―-":
+            continue  # a dash, then who spoke
         before = next((c for c in reversed(block[max(0, m.start() - 40) : m.start()]) if _LETTER.match(c)), "")
         while start < m.start() and block[start].isspace():
             start += 1
@@ -180,21 +187,23 @@ def _dot_ends(block: str, start: int, dot: int, end: int, rest: int, nx: str, ga
     is_han = bool(_HAN.match(nx)) if nx else False
     if low in _NEVER:
         return False
+    if low in _NUMBERED:
+        return not nx.isdigit()
     if low in _TITLES:
         return not nx.isupper()
     if low in _SHORT and word[0].isupper():
         return not nx.isdigit() and not is_han
     if low in _MAYBE:
         if is_han:
-            return False
+            return low not in _COMPANY and not block.startswith(GOES_ON_ZH, rest)
+        if nx.isdigit():
+            return bool(_LIST_NUMBER.match(block, rest))
         nx_word = _NEXT_WORD.match(block, rest)
         return nx.isupper() and not (nx_word and nx_word.group().lower() in _DAYS) or not nx
     if len(low) == 1 and low.isalpha() and low.isascii():
         return False  # an initial, or a part of an abbreviation
     if regex.fullmatch(r"(?:\p{L}\.)+\p{L}", low):
         return False
-    if _script(low[-1]) == "other" and low in ("डॉ", "श्री", "प्रो"):
-        return False
     if word.isdigit() and len(word) <= 2 and nx.isupper():
         nx_word = _NEXT_WORD.match(block, rest)
         if nx_word and nx_word.group().lower() in _MONTHS:

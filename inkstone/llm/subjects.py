@@ -30,6 +30,8 @@ from .sentences import sentence_spans
 VOCABULARY, MAX_LABELLED, LABELLED_ROUNDS, ROUNDS = 1 << 17, 20_000, 4, 1
 #: Smoothing of topics and mixtures; share of the mixture that a label's subjects are expected to have.
 BETA, ALPHA, LABEL_SHARE = 0.02, 0.3, 0.9
+#: Posterior from which a sentence of a document without labels counts towards the topics.
+SURE = 0.8
 #: Occurrences from which a word counts as known; weight of all labelled documents' counts beside those of all documents.
 RARE, ANCHOR = 2.0, 10.0
 
@@ -135,6 +137,7 @@ def _round(docs: DataFrame, log_topics: np.ndarray) -> np.ndarray:
                     sure = 20.0 * max(1, d.n_sentences[i])
                     prior[i] = sure * np.where(own, LABEL_SHARE / own.sum(), (1 - LABEL_SHARE) / max(1, k - own.sum()))
                 p = d.posterior(topics, prior)
+                p[(masks[d.doc] == 0) & (p.max(1) < SURE)] = 0.0
                 flat = p[d.sentence]
                 for j in range(k):
                     counts[:, j] += np.bincount(d.words, flat[:, j], VOCABULARY)
@@ -196,6 +199,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     n_labelled = masks.count()
     if n_labelled > max_labelled:
         masks = masks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n_labelled))
+    masks = F.broadcast(masks)  # of about max_labelled rows at most
     labelled = written(docs.join(masks, "doc_id"), "subjects-labelled")
 
     uniform = np.full((VOCABULARY, k), 1.0)

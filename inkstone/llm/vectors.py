@@ -20,8 +20,14 @@ from ..session import written
 
 #: Vectors that a list should hold, lists at most, sampled vectors for the fit at most, members of a piece of a list.
 LIST_SIZE, MAX_LISTS, SAMPLE, PIECE = 200, 16_384, 100_000, 4_096
+#: Centroids up to which comparing with all of them costs less than following links.
+FEW = 1_024
 #: Distance to a list's centroid, over that to the nearest, up to which a vector is kept in the list, and looks into it; and how many.
-KEEP_RATIO, KEEP_LISTS, PROBE_RATIO, PROBE_LISTS = 1.10, 4, 1.25, 10
+KEEP_RATIO, KEEP_LISTS, PROBE_RATIO, PROBE_LISTS = 1.10, 4, 1.5, 24
+#: The same for neighbours of at least CLOSE similarity, which share their nearest lists.
+CLOSE, CLOSE_RATIO, CLOSE_LISTS = 0.8, 1.25, 10
+#: Lists that a query looks into at least, and at most when it has found fewer than k vectors.
+LEAST_LISTS, MORE_LISTS = 2, 80
 
 
 def newest_vectors(models: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ class CentroidGraph:
     def search(self, q: np.ndarray, r: int, beam: int = 12, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the about r nearest centroids of each query, best first; id -1 for none."""
         n = len(self.c)
-        if n <= 4 * max(r, beam) or not self.links.shape[1]:
+        if n <= max(FEW, 4 * r) or not self.links.shape[1]:
             s = q @ self.c.T
             order = np.argsort(-s, axis=1, kind="stable")[:, : min(r, n)]
             return order.astype(np.int32), np.take_along_axis(s, order, 1)
@@ -127,21 +133,25 @@ class CentroidGraph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
-def chosen_lists(sims: np.ndarray, ids: np.ndarray, ratio: float, most: int) -> np.ndarray:
-    """Which of the lists found (best first) are within `ratio` of the nearest centroid's distance, `most` at most."""
+def chosen_lists(sims: np.ndarray, ids: np.ndarray, ratio: float, most: int, least: int = 1) -> np.ndarray:
+    """Which of the lists found (best first) are within `ratio` of the nearest centroid's distance; at least and most so many."""
     dist = np.sqrt(np.maximum(0.0, 2 - 2 * sims))
-    keep = (dist <= ratio * dist[:, :1] + 1e-6) & (ids >= 0)
+    keep = dist <= ratio * dist[:, :1] + 1e-6 if np.isfinite(ratio) else np.ones(dist.shape, bool)
+    keep[:, :least] = True
     keep[:, most:] = False
-    return keep
+    return keep & (ids >= 0)
 
 
-def similar_vectors(vectors: DataFrame, k: int = 10, min_similarity: float | None = None, list_size: int = LIST_SIZE, sample: int = SAMPLE, probe_ratio: float = PROBE_RATIO, probe_lists: int = PROBE_LISTS, keep_ratio: float = KEEP_RATIO, keep_lists: int = KEEP_LISTS, piece: int = PIECE) -> DataFrame:
+def similar_vectors(vectors: DataFrame, k: int = 10, min_similarity: float | None = None, list_size: int = LIST_SIZE, sample: int = SAMPLE, probe_ratio: float | None = None, probe_lists: int | None = None, keep_ratio: float = KEEP_RATIO, keep_lists: int = KEEP_LISTS, piece: int = PIECE) -> DataFrame:
     """(word, neighbour, similarity) of the k most similar other words of every word, by cosine, ties in order of words.
 
     vectors: (word, unit) as of newest_vectors, one row per word. Words with equal vectors are searched as one. With
     min_similarity, only neighbours of at least that similarity are kept, from the first step on.
     """
     spark = vectors.sparkSession
+    close = min_similarity is not None and min_similarity >= CLOSE
+    probe_ratio = probe_ratio or (CLOSE_RATIO if close else PROBE_RATIO)
+    probe_lists = probe_lists or (CLOSE_LISTS if close else PROBE_LISTS)
     words = written(vectors.select("word", "unit", F.unhex(F.md5("unit")).alias("key")), "vectors-words")
     rank = F.row_number().over(W.partitionBy("key").orderBy("word"))
     reps = written(words.withColumn("rank", rank).filter(F.col("rank") <= k + 1).groupBy("key").agg(F.min("unit").alias("unit"), F.sort_array(F.collect_list("word")).alias("words")), "vectors-keys")
@@ -154,28 +164,37 @@ def similar_vectors(vectors: DataFrame, k: int = 10, min_similarity: float | Non
     graph = CentroidGraph(balanced_centroids(fit, max(2, int(np.ceil(len(fit) / lists)))))
     model = spark.sparkContext.broadcast(graph)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(batches: Iterator[pa.RecordBatch], wider: bool = False) -> Iterator[pa.RecordBatch]:
         g = model.value
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
                 q = np.array([np.frombuffer(x, np.float32) for x in batch.column(1).to_pylist()])
-                ids, sims = g.search(q, max(probe_lists, keep_lists))
-                probes = chosen_lists(sims, ids, probe_ratio, probe_lists)
-                member = chosen_lists(sims, ids, keep_ratio, keep_lists)
+                ids, sims = g.search(q, MORE_LISTS if wider else max(probe_lists, keep_lists))
+                probes = chosen_lists(sims, ids, np.inf if wider else probe_ratio, MORE_LISTS if wider else probe_lists, LEAST_LISTS)
+                member = chosen_lists(sims, ids, keep_ratio, 0 if wider else keep_lists)
                 row, col = np.nonzero(probes | member)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), pa.array(member[row, col]), pa.array(probes[row, col]), *(batch.column(i).take(at) for i in range(3))], ["list", "member", "query", "key", "unit", "words"])
 
-    routed = written(reps.select("key", "unit", "words").mapInArrow(route, "list int, member boolean, query boolean, key binary, unit binary, words array<string>"), "vectors-lists")
-    # lists above the limit (a row per list at most, MAX_LISTS of them) are searched in pieces: members by hash, queries in each
-    long = [(r["list"], r.n) for r in routed.filter("member").groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > piece).collect()]
-    if long:
-        pieces = F.create_map(*(F.lit(x) for i, m in long for x in (i, -(-m // piece))))[F.col("list")]
-        pieces = F.coalesce(pieces, F.lit(1))
-        own = F.pmod(F.xxhash64("key"), pieces).cast("int")
-        routed = routed.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")).withColumn("member", F.col("member") & (F.col("own") == F.col("piece"))).drop("own").filter("member or query")
-    else:
-        routed = routed.withColumn("piece", F.lit(0))
+    schema = "list int, member boolean, query boolean, key binary, unit binary, words array<string>"
+    routed = written(reps.select("key", "unit", "words").mapInArrow(route, schema), "vectors-lists")
+    # lists with more members or queries than a piece holds (a row per list at most, MAX_LISTS of them)
+    sizes = routed.groupBy("list").agg(F.count_if("member").alias("m"), F.count_if("query").alias("q"))
+    long = [(r["list"], -(-r.m // piece) or 1, -(-r.q // (2 * piece)) or 1) for r in sizes.filter((F.col("m") > piece) | (F.col("q") > 2 * piece)).collect()]
+
+    def in_pieces(rows: DataFrame) -> DataFrame:
+        """Every member of a list meets every query in one piece: members are dealt out by hash and repeated for each part of
+        the queries, queries are dealt out likewise and repeated for each part of the members."""
+        if not long:
+            return rows.withColumn("piece", F.lit(0))
+        parts = F.create_map(*(x for i, m, q in long for x in (F.lit(i), F.struct(F.lit(m).alias("m"), F.lit(q).alias("q")))))
+        rows = rows.withColumn("p", F.coalesce(parts[F.col("list")], F.struct(F.lit(1).alias("m"), F.lit(1).alias("q"))))
+        own_m, own_q = (F.pmod(F.xxhash64("key", F.lit(seed)), F.col(f"p.{c}")).cast("int") for seed, c in ((1, "m"), (2, "q")))
+        place = lambda m, q: F.struct((m * F.col("p.q") + q).alias("piece"), (F.col("member") & (m == own_m)).alias("member"), (F.col("query") & (q == own_q)).alias("query"))
+        none = F.array().cast("array<struct<piece:int,member:boolean,query:boolean>>")
+        as_member = F.when(F.col("member"), F.transform(F.sequence(F.lit(0), F.col("p.q") - 1), lambda q: place(own_m, q))).otherwise(none)
+        as_query = F.when(F.col("query"), F.transform(F.sequence(F.lit(0), F.col("p.m") - 1), lambda m: place(m, own_q))).otherwise(none)
+        return rows.select("list", "key", "unit", "words", F.explode(F.array_union(as_member, as_query)).alias("x")).select("list", "key", "unit", "words", "x.*")
 
     def search(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
@@ -192,7 +211,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, min_similarity: float | Non
             if min_similarity is not None:
                 row, col = np.nonzero(s >= min_similarity - 1e-5)
             else:
-                col = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+                col = np.argpartition(-s, min(k + 1, s.shape[1]) - 1, axis=1)[:, : k + 1]  # one may be the query itself, in a row of its own
                 row = np.repeat(np.arange(len(at)), col.shape[1])
                 col = col.ravel()
                 ok = s[row, col] > -2
@@ -217,9 +236,21 @@ def similar_vectors(vectors: DataFrame, k: int = 10, min_similarity: float | Non
         q, m, s = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((out_q, np.int64), (out_m, np.int64), (out_s, np.float64)))
         return pa.table({"key": keys.take(pa.array(q)), "other": keys.take(pa.array(m)), "words": words.take(pa.array(m)), "similarity": pa.array(s)})
 
-    found = routed.groupBy("list", "piece").applyInArrow(search, "key binary, other binary, words array<string>, similarity double")
-    # the same pair comes from several lists; then the words of the best vectors, k + 1 of them at most
-    pairs = found.groupBy("key", "other").agg(F.max("similarity").alias("similarity"), F.min("words").alias("words"))
+    def searched(rows: DataFrame) -> DataFrame:
+        """(key, other, similarity, words), once for every pair, whichever lists it comes from."""
+        hits = in_pieces(rows).groupBy("list", "piece").applyInArrow(search, "key binary, other binary, words array<string>, similarity double").filter("key <> other")
+        return hits.groupBy("key", "other").agg(F.max("similarity").alias("similarity"), F.min("words").alias("words"))
+
+    pairs = searched(routed)
+    if min_similarity is None and n > 1:
+        # queries whose lists held too few vectors look into many more; with lists of the usual size there is hardly one
+        pairs = written(pairs, "vectors-pairs")
+        enough = pairs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, n - 1)).select("key")
+        short = written(reps.join(enough, "key", "left_anti"), "vectors-short")
+        if short.limit(1).count():
+            asked = short.select("key", "unit", "words").mapInArrow(lambda batches: route(batches, True), schema).filter("query")
+            again = searched(routed.filter("member").withColumn("query", F.lit(False)).unionByName(asked.withColumn("member", F.lit(False))))
+            pairs = pairs.join(short.select("key"), "key", "left_anti").unionByName(again)
     best = F.row_number().over(W.partitionBy("key").orderBy(F.desc("similarity"), F.col("words")[0]))
     near = pairs.withColumn("rank", best).filter(F.col("rank") <= k).select("key", "similarity", F.explode("words").alias("neighbour"))
     own = reps.filter(F.size("words") > 1).select("key", F.lit(1.0).alias("similarity"), F.explode("words").alias("neighbour"))
