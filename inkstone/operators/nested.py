@@ -105,8 +105,14 @@ class StructuralTables:
         return [p for p, _ in _arrays(self.kind, self.column)]
 
     def child(self, path: str) -> DataFrame:
-        """The child table at a path within the column, e.g. 'dependency.words' or '[].output.pos' for an array column."""
-        return child_table(self.source, self.key, self.column + (path if path.startswith("[]") or not path else f".{path}"))
+        """The child table at a path within the column, e.g. 'dependency.words' or '[].output.pos' for an array column.
+
+        Besides the columns of child_table it has `variant`, the automaton's state of the element ('-' for a null one), by
+        which elements are told apart as records are.
+        """
+        full = self.column + (path if path.startswith("[]") or not path else f".{path}")
+        rows = child_table(self.source, self.key, full)
+        return rows.withColumn("variant", state(F.col("elem"), dict(_arrays(self.kind, self.column))[full]))
 
 
 def structural_tables(df: DataFrame, key: str, column: str, once_by: str | None = None) -> StructuralTables:

@@ -17,7 +17,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _elements(children: DataFrame, kind: str, item: str | None, place: str, elem) -> DataFrame:
     item_no = F.col(item) if item else F.lit(0)
-    return children.filter("elem is not null").select(F.lit(kind).alias("kind"), F.col("parent_key").alias("parent_id"), item_no.cast("int").alias("item_no"), F.col(place).alias("elem_no"), elem.alias("elem"))
+    return children.filter("variant <> '-'").select(F.lit(kind).alias("kind"), F.col("parent_key").alias("parent_id"), item_no.cast("int").alias("item_no"), F.col(place).alias("elem_no"), elem.alias("elem"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

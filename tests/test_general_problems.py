@@ -93,8 +93,9 @@ def nested(spark):
 def test_child_tables(nested, rows):
     t = structural_tables(nested, "id", "r", "id")
     assert t.child_paths() == ["r.a.words", "r.list", "r.list[].p", "r.list[].p[]"]
-    assert rows(t.child("a.words")) == [("1", 0, "x"), ("1", 1, None), ("1", 2, "y")]
-    assert rows(t.child("list[].p")) == [("1", 0, 0, ["w", "t"]), ("1", 0, 1, None), ("1", 0, 2, ["w"])]
+    assert rows(t.child("a.words")) == [("1", 0, "x", "."), ("1", 1, None, "-"), ("1", 2, "y", ".")]
+    assert rows(t.child("list[].p")) == [("1", 0, 0, ["w", "t"], "[.]"), ("1", 0, 1, None, "-"), ("1", 0, 2, ["w"], "[.]")]
+    assert rows(t.child("list"), "place_1", "variant") == [(0, "{p:[-|[.]],ok:.}"), (1, "-"), (2, "{}")]
     assert rows(t.child("list[].p[]"), "place_1", "place_2", "place_3", "elem") == [(0, 0, 0, "w"), (0, 0, 1, "t"), (0, 2, 0, "w")]
     assert child_table(nested.filter("false"), "id", "r.list").count() == 0
 
