@@ -25,7 +25,7 @@ FEW = 1_024
 #: Distance to a list's centroid, over that to the nearest, up to which a vector is kept in the list, and looks into it; and how many.
 KEEP_RATIO, KEEP_LISTS, PROBE_RATIO, PROBE_LISTS = 1.10, 4, 1.5, 24
 #: The same for neighbours of at least CLOSE similarity, which share their nearest lists.
-CLOSE, CLOSE_RATIO, CLOSE_LISTS = 0.8, 1.25, 10
+CLOSE, CLOSE_RATIO, CLOSE_LISTS = 0.8, 1.25, 6
 #: Lists that a query looks into at least, and at most when it has found fewer than k vectors.
 LEAST_LISTS, MORE_LISTS = 2, 80
 
@@ -101,7 +101,7 @@ class CentroidGraph:
         rng = np.random.default_rng(seed)
         self.pivots = np.sort(rng.choice(n, min(n, max(8, int(4 * np.sqrt(n)))), replace=False)).astype(np.int32)
 
-    def search(self, q: np.ndarray, r: int, beam: int = 12, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, r: int, beam: int = 16, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the about r nearest centroids of each query, best first; id -1 for none."""
         n = len(self.c)
         if n <= max(FEW, 4 * r) or not self.links.shape[1]:
