@@ -202,6 +202,19 @@ def train_embeddings(docs: DataFrame, id: str, words: str, vocab_size: int = 300
     return spark.createDataFrame([(r.term, (u[i] * s).tolist(), r["count"], r.rank) for i, r in enumerate(names)], schema), s
 
 
+def word_similarity(model: DataFrame, a: str, b: str) -> float:
+    """Cosine of two words' vectors; 0 if the model does not know one of them."""
+    found = {r.word: np.array(r.vector) for r in model.filter(F.col("word").isin(a, b)).collect()}
+    if a not in found or b not in found:
+        return 0.0
+    return float(_unit(found[a][None])[0] @ _unit(found[b][None])[0])
+
+
+def model_stats(model: DataFrame, singular_values: np.ndarray) -> dict:
+    """Words, dimensions, and the first ten singular values."""
+    return {"vocab_size": model.count(), "dim": len(singular_values), "singular_values": [round(float(v), 4) for v in singular_values[:10]]}
+
+
 def save_model(model: DataFrame, singular_values: np.ndarray, path: str) -> None:
     """Vectors and singular values as Parquet under `path`."""
     model.write.mode("overwrite").parquet(f"{path}/vectors")
