@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cache
 
 # The grammar, in the order that decides between derivations; labels from most to least preferred.
 UNARY = "NP>n NP>r NP>ns NP>nr NP>nt NP>t NP>f NP>m NP>q NP>x VP>v AP>a ADVP>d P>p CONJ>c U>u"
@@ -11,15 +12,30 @@ AP>d+AP AP>ADVP+AP PP>P+NP TP>NP+f S>NP+VP S>NP+AP S>NP+TP S>S+PP S>S+CONJ"""
 PREFERENCE = "S VP NP AP TP PP ADVP P CONJ U"
 END_MARKS = frozenset("。！？!?；;")
 
-_PARENTS: dict[tuple[str, str], list[str]] = {}
-for _rule in BINARY.split():
-    _lhs, _rhs = _rule.split(">")
-    _PARENTS.setdefault(tuple(_rhs.split("+")), []).append(_lhs)
-_LEAF: dict[str, list[str]] = {}
-for _rule in UNARY.split():
-    _LEAF.setdefault(_rule.split(">")[1], []).append(_rule.split(">")[0])
+_UNARY = [x.split(">") for x in UNARY.split()]
+_BINARY = [(lhs, *rhs.split("+")) for lhs, rhs in (x.split(">") for x in BINARY.split())]
+#: Symbols as bits, so that a chart cell is one number.
+_BIT = {x: 1 << i for i, x in enumerate(dict.fromkeys(s for rule in (*_UNARY, *_BINARY) for s in rule))}
+_LEAF = {tag: _BIT[tag] | sum(_BIT[lhs] for lhs, t in _UNARY if t == tag) for _, tag in _UNARY}
 _RANK = {label: i for i, label in enumerate(PREFERENCE.split())}
 
+
+
+@cache
+def _combined(left: int, right: int) -> int:
+    """Labels of a span whose parts can have these symbols."""
+    out = 0
+    for lhs, a, b in _BINARY:
+        if left & _BIT[a] and right & _BIT[b]:
+            out |= _BIT[lhs]
+    return out
+
+
+@cache
+def _preferred(cell: int) -> str:
+    return min((x for x, bit in _BIT.items() if cell & bit), key=lambda x: _RANK.get(x, 99))
+
+
 #: (node, parent, place among the parent's children, label, word, start, end); the root's parent is -1.
 Node = tuple[int, int, int, str, str | None, int, int]
 
@@ -27,32 +43,38 @@ Node = tuple[int, int, int, str, str | None, int, int]
 def parse(words: list[str], tags: list[str]) -> list[Node]:
     """The tree as nodes in pre-order. All derivations of a span score alike, so the first one found gives its split.
 
-    A leaf has its phrase label if that is a preferred one, else its tag. A span no rule covers is a flat S of its leaves.
+    A leaf has its tag as label. A span no rule covers is a flat S of its leaves.
     """
     n = len(words)
     if not n:
         return [(0, -1, 0, "S", None, 0, 0)]
-    # chart[i, j]: label -> split, in the order in which the labels were found
-    chart: dict[tuple[int, int], dict[str, int]] = {(i, i + 1): dict.fromkeys([*_LEAF.get(t, []), t], -1) for i, t in enumerate(tags)}
+    # cells[i][j]: symbols of the span i..j; splits[i, j, label bit]: the first split that gave the label
+    cells = [[0] * (n + 1) for _ in range(n)]
+    splits: dict[tuple[int, int, int], int] = {}
+    for i, t in enumerate(tags):
+        cells[i][i + 1] = _LEAF.get(t, 0)
+    columns = [[cells[k][j] for k in range(n)] for j in range(n + 1)]  # the same by end, for the right parts
     for length in range(2, n + 1):
         for i in range(n - length + 1):
             j = i + length
-            cell: dict[str, int] = {}
+            row, column, cell = cells[i], columns[j], 0
             for k in range(i + 1, j):
-                left, right = chart.get((i, k)), chart.get((k, j))
+                left, right = row[k], column[k]
                 if left and right:
-                    for a in left:
-                        for b in right:
-                            for label in _PARENTS.get((a, b), ()):
-                                cell.setdefault(label, k)
+                    new = _combined(left, right) & ~cell
+                    while new:
+                        bit = new & -new
+                        splits[i, j, bit] = k
+                        cell |= bit
+                        new ^= bit
             if cell:
-                chart[i, j] = cell
+                row[j] = columns[j][i] = cell
     nodes: list[Node] = []
     todo = [(0, n, -1, 0)]
     while todo:
         i, j, parent, place = todo.pop()
         me = len(nodes)
-        cell = chart.get((i, j))
+        cell = cells[i][j]
         if j - i == 1:
             # a leaf always shows the tag itself
             nodes.append((me, parent, place, tags[i], words[i], i, j))
@@ -60,9 +82,9 @@ def parse(words: list[str], tags: list[str]) -> list[Node]:
             nodes.append((me, parent, place, "S", None, i, j))
             todo.extend((k, k + 1, me, k - i) for k in range(j - 1, i - 1, -1))
         else:
-            label = min(cell, key=lambda x: (_RANK.get(x, 99) if x not in ("NP", "AP") else (2 if x == "NP" else 2.5)))
+            label = _preferred(cell)
             nodes.append((me, parent, place, label, None, i, j))
-            split = cell[label]
+            split = splits[i, j, _BIT[label]]
             todo += [(split, j, me, 1), (i, split, me, 0)]
     return nodes
 

@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.dependency import heads_of
 from ..operators.graph import pagerank_of
@@ -157,11 +158,7 @@ def column_function(kernel: Callable, kind: T.DataType, lexicon: Lexicon = DEFAU
     """
     result = T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())]) if safe else kind
 
-    def plain(x):
-        return x.tolist() if isinstance(x, np.ndarray) else x
-
     def one(k: Kernels, values: tuple):
-        values = tuple(plain(v) for v in values)
         if values[0] is None:
             return {"value": None, "error": None} if safe else None
         if not safe:
@@ -171,21 +168,14 @@ def column_function(kernel: Callable, kind: T.DataType, lexicon: Lexicon = DEFAU
         except Exception as x:
             return {"value": None, "error": f"{type(x).__name__}: {x}"}
 
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        k = kernels(lexicon)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        k, arrow = kernels(lexicon), to_arrow_type(result)
         for columns in batches:
-            out = [one(k, v) for v in zip(*columns)]
-            if isinstance(result, T.StructType):
-                yield pd.DataFrame(out, columns=result.fieldNames()) if out else pd.DataFrame({n: [] for n in result.fieldNames()})
-            else:
-                yield pd.Series(out, dtype=object)
-
-    # pandas decides by the annotations what it is given
-    if isinstance(result, T.StructType):
-        run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
-    else:
-        run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
-    udf = F.pandas_udf(run, result)
+            yield pa.array([one(k, v) for v in zip(*(c.to_pylist() for c in columns))], arrow)
+
+    # Spark decides by the annotations what a function is given
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    udf = F.arrow_udf(run, result)
     # a second column makes Spark hand over tuples in every case
     return lambda *columns: udf(*columns, *([F.lit(0)] if len(columns) == 1 else []))
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
-
 from .hmm import Hmm
 from .lexicon import LOC_SUFFIXES, ORG_SUFFIXES, SUFFIX_TAGS, TAGS, Lexicon
 
 TAG_ADD_K = 0.01
+_NEVER = float("-inf")
 _NUMBER, _DATE, _DIGIT = re.compile(r"[0-9]+(?:[.][0-9]+)?%?"), re.compile(r"[0-9]+[年月日]"), re.compile(r"[0-9]")
 
 
@@ -19,6 +18,8 @@ class Tagger:
         self.tags = TAGS.split()
         self.hmm = Hmm(self.tags, TAG_ADD_K).fit([*lexicon.tagged, *([(w, t)] for w, t in lexicon.parts_of_speech.items())])
         self.suffixes = [(s, t.split(",")) for s, t in (x.split(":") for x in SUFFIX_TAGS.split())]
+        self._start, self._trans = self.hmm.start.tolist(), self.hmm.trans.tolist()
+        self._known: dict[str, tuple[list[int], list[float], str]] = {}
         self.loc, self.org = tuple(LOC_SUFFIXES.split()), tuple(ORG_SUFFIXES.split())
 
     def candidates(self, word: str) -> list[str]:
@@ -49,20 +50,39 @@ class Tagger:
         """One tag per word. The search keeps only candidate tags, in the order of the tag set (which decides ties)."""
         if not words:
             return []
-        options = [self.candidates(w) for w in words]
-        at = [np.array(sorted(self.hmm.at[t] for t in o)) for o in options]
-        score = self.hmm.start[at[0]] + self.hmm.emission(words[0])[at[0]]
-        back = []
+        options = [self._known.get(w) or self._remember(w) for w in words]
+        trans = self._trans
+        states, emitted, _ = options[0]
+        score = [self._start[s] + e for s, e in zip(states, emitted)]
+        back: list[list[int]] = []
         for i in range(1, len(words)):
-            paths = score[:, None] + self.hmm.trans[np.ix_(at[i - 1], at[i])]
-            best = paths.argmax(0)
-            back.append(best)
-            score = paths[best, np.arange(len(best))] + self.hmm.emission(words[i])[at[i]]
-        if not np.isfinite(score).any():
-            return [o[0] for o in options]
-        j = int(score.argmax())
-        path = [self.tags[at[-1][j]]]
+            before, (states, emitted, _) = states, options[i]
+            came, new = [], []
+            for s, e in zip(states, emitted):
+                best, at = _NEVER, 0
+                for j, p in enumerate(before):
+                    v = score[j] + trans[p][s]
+                    if v > best:
+                        best, at = v, j
+                came.append(at)
+                new.append(best + e)
+            back.append(came)
+            score = new
+        j = max(range(len(score)), key=score.__getitem__)
+        if score[j] == _NEVER:
+            return [first for _, _, first in options]
+        path = [self.tags[options[-1][0][j]]]
         for i in range(len(words) - 1, 0, -1):
-            j = int(back[i - 1][j])
-            path.append(self.tags[at[i - 1][j]])
+            j = back[i - 1][j]
+            path.append(self.tags[options[i - 1][0][j]])
         return path[::-1]
+
+    def _remember(self, word: str) -> tuple[list[int], list[float], str]:
+        """(states, their emissions, first candidate) of a word."""
+        tags = self.candidates(word)
+        states = sorted(self.hmm.at[t] for t in tags)
+        emission = self.hmm.emission(word)
+        if len(self._known) > 500_000:
+            self._known.clear()
+        self._known[word] = found = (states, [float(emission[s]) for s in states], tags[0])
+        return found

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import GRAM_BREAKS, has_han
+from ..session import written
 
 
 def term_counts(docs: DataFrame, id: str, words: str) -> DataFrame:
@@ -25,14 +26,14 @@ def tfidf(docs: DataFrame, id: str, words: str) -> DataFrame:
     Terms with more than 1/10,000 of all postings, of which there can be no more than 10,000, are joined by broadcast, so that
     no shuffle key has a large share of the rows.
     """
-    counts = term_counts(docs, id, words)
-    df = document_frequency(counts)
-    totals = docs.agg(F.count("*").alias("n"), F.sum(F.greatest(F.size(words), F.lit(0))).alias("words")).first()
-    often = F.col("df") >= max(1.0, (totals.words or 0) / 10_000)
+    counts = written(term_counts(docs, id, words), "term-counts")
+    df = written(document_frequency(counts), "document-frequency")
+    n, postings = docs.count(), counts.count()
+    often = F.col("df") >= max(1.0, postings / 10_000)
     hot = F.broadcast(df.filter(often))
     rare = counts.join(hot.select("term"), "term", "left_anti").join(df.filter(~often), "term")
     joined = counts.join(hot, "term").unionByName(rare)
-    return joined.withColumn("weight", F.col("tf") * (F.ln((F.lit(totals.n) + 1) / (F.col("df") + 1)) + 1))
+    return joined.withColumn("weight", F.col("tf") * (F.ln((F.lit(n) + 1) / (F.col("df") + 1)) + 1))
 
 
 def top_terms(weighted: DataFrame, k: int, by: str = "weight") -> DataFrame:

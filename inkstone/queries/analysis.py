@@ -11,7 +11,7 @@ from ..models import kernels as K
 from ..operators import vectors, weights
 from ..operators.graph import pagerank
 from ..plans.pipeline import PipelineEngine
-from ..session import scratch_path, spread, table, written
+from ..session import scratch_path, spread, spread_again, table, written
 from ..streaming import stream_pipeline
 from .text import _tagged, _words
 
@@ -20,7 +20,7 @@ def _texts(spark: SparkSession, d: str, name: str) -> DataFrame:
     """(id, text) of a table, each id once."""
     key = "doc_id" if name == "documents" else "id"
     rows = table(spark, d, name).select(F.col(key).alias("id"), "text").filter("text is not null")
-    return spread(rows, "id") if name == "documents" else rows.groupBy("id").agg(F.min("text").alias("text"))
+    return spread(rows, "id") if name == "documents" else spread_again(rows.groupBy("id").agg(F.min("text").alias("text")), rows, "id")
 
 
 def segment_words(spark: SparkSession, d: str) -> DataFrame:

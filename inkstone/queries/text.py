@@ -14,7 +14,7 @@ from ..operators.markov import hmm_counts
 from ..operators.sentiment import NaiveBayes, bayes_score, labelled_model, lexicon_score, sentiment_by_windows
 from ..operators.translate import to_chinese
 from ..plans.pipeline import cleaned
-from ..session import spread, table
+from ..session import spread, spread_again, table
 
 STOP = sorted(DEFAULT.stop_words)
 
@@ -32,7 +32,7 @@ def _words(spark: SparkSession, d: str, name: str = "segment") -> DataFrame:
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     """(id, words, tags) of parse records whose arrays are of equal length and without nulls, each id once."""
     rows = table(spark, d, "parse").select("id", "result.dependency.words", "result.dependency.tags").filter("words is not null and tags is not null and size(words) = size(tags) and not exists(tags, t -> t is null)")
-    return rows.groupBy("id").agg(F.min(F.struct("words", "tags")).alias("s")).select("id", "s.*")
+    return spread_again(rows.groupBy("id").agg(F.min(F.struct("words", "tags")).alias("s")).select("id", "s.*"), rows, "id")
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:

@@ -79,6 +79,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * cores, *keys)
 
 
+def spread_again(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """An aggregate of a small `source`, spread by key before costly Python work.
+
+    Adaptive execution joins the partitions of a small aggregate to one, which one core would then work through. Where the
+    source's size is enough for a partition of the advised size on every core, nothing is done.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    advised = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
+    return df if size >= advised * cores else df.repartition(2 * cores, *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, whatever their working directory."""
     sc = spark.sparkContext
