@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
+from ..session import spread_again
 
 # Abbreviations that never end a sentence, by language.
 NEVER = {
@@ -272,7 +272,8 @@ def split_sentences(df: DataFrame, key: str = "id", text: str = "text") -> DataF
     Rows of one key count once (with several texts under one key, the smallest is taken); a null key is a key. Null, empty
     and blank texts have no sentence. The texts are shuffled once, by key, to drop repeated rows; the rest is one Arrow pass.
     """
-    one = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").groupBy("k").agg(F.min("t").alias("t"))
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null")
+    one = spread_again(rows.groupBy("k").agg(F.min("t").alias("t")), rows, "k")
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("start_pos", T.IntegerType(), False), T.StructField("end_pos", T.IntegerType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
