@@ -44,7 +44,7 @@ def _add(con, batch: pa.RecordBatch | pa.Table) -> None:
 
 
 def _batches(con) -> Iterator[pa.RecordBatch]:
-    yield from con.execute("SELECT task, term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM part GROUP BY task, term").to_arrow_reader(50_000)
+    yield from con.sql("SELECT task, term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM part GROUP BY task, term").to_arrow_reader(50_000)
 
 
 def record_terms(df: DataFrame, task: str, words: Column, id: str = "id") -> DataFrame:
