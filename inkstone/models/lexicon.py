@@ -144,21 +144,23 @@ LABELLED = {
 各方面表现均衡""",
 }
 
-ZH_EN = """我=I 你=you 他=he 她=she 它=it 我们=we 你们=you 他们=they 是=is 有=have 在=in 和=and 的=of 喜欢=like 爱=love 想=want 说=say 看=see
-学习=learn 工作=work 生活=life 研究=research 开发=develop 使用=use 实现=implement 提供=provide 支持=support 帮助=help 需要=need 可以=can
-今天=today 明天=tomorrow 昨天=yesterday 现在=now 未来=future 时间=time 世界=world 国家=country 中国=China 美国=America 日本=Japan
-北京=Beijing 上海=Shanghai 公司=company 大学=university 学校=school 老师=teacher 学生=student 朋友=friend 家庭=family 孩子=child 人=people
-人类=human 社会=society 经济=economy 科技=technology 技术=technology 计算机=computer 互联网=internet 人工智能=artificial_intelligence 数据=data
-信息=information 系统=system 平台=platform 网络=network 软件=software 硬件=hardware 程序=program 算法=algorithm 模型=model 语言=language
-自然语言=natural_language 文本=text 新闻=news 文章=article 问题=problem 方法=method 结果=result 过程=process 目标=goal 功能=function
-性能=performance 质量=quality 速度=speed 效率=efficiency 成本=cost 价格=price 市场=market 产品=product 服务=service 用户=user 客户=customer
-设计=design 管理=manage 分析=analyze 教育=education 健康=health 环境=environment 资源=resource 能源=energy 金融=finance 银行=bank
-投资=investment 股票=stock 基金=fund 你好=hello 谢谢=thank_you 再见=goodbye 对不起=sorry 早上好=good_morning 晚上好=good_evening
-机器学习=machine_learning 深度学习=deep_learning 神经网络=neural_network 大数据=big_data 云计算=cloud_computing 物联网=internet_of_things
-我喜欢=I_like 非常好=very_good 很好=very_good 很大=very_big 很重要=very_important 好=good 坏=bad 大=big 小=small 多=many 少=few 高=high
-低=low 长=long 短=short 新=new 旧=old 快=fast 慢=slow 重要=important 简单=simple 复杂=complex 正确=correct 错误=wrong 准确=accurate
-稳定=stable 安全=safe 快速=fast 高效=efficient 智能=intelligent 自动=automatic 一=one 二=two 三=three 四=four 五=five 六=six 七=seven
-八=eight 九=nine 十=ten 年=year 月=month 日=day 小时=hour 分钟=minute"""
+ZH_EN = """我=I, 你=you, 他=he, 她=she, 它=it, 我们=we, 你们=you, 他们=they, 是=is, 有=have, 在=in, 和=and, 的=of, 喜欢=like, 爱=love, 想=want, 说=say,
+看=see, 学习=learn, 工作=work, 生活=life, 研究=research, 开发=develop, 使用=use, 实现=implement, 提供=provide, 支持=support, 帮助=help,
+需要=need, 可以=can, 今天=today, 明天=tomorrow, 昨天=yesterday, 现在=now, 未来=future, 时间=time, 世界=world, 国家=country, 中国=China,
+美国=America, 日本=Japan, 北京=Beijing, 上海=Shanghai, 公司=company, 大学=university, 学校=school, 老师=teacher, 学生=student, 朋友=friend,
+家庭=family, 孩子=child, 人=people, 人类=human, 社会=society, 经济=economy, 科技=technology, 技术=technology, 计算机=computer,
+互联网=internet, 人工智能=artificial intelligence, 数据=data, 信息=information, 系统=system, 平台=platform, 网络=network, 软件=software,
+硬件=hardware, 程序=program, 算法=algorithm, 模型=model, 语言=language, 自然语言=natural language, 文本=text, 新闻=news, 文章=article,
+问题=problem, 方法=method, 结果=result, 过程=process, 目标=goal, 功能=function, 性能=performance, 质量=quality, 速度=speed,
+效率=efficiency, 成本=cost, 价格=price, 市场=market, 产品=product, 服务=service, 用户=user, 客户=customer, 设计=design, 管理=manage,
+分析=analyze, 教育=education, 健康=health, 环境=environment, 资源=resource, 能源=energy, 金融=finance, 银行=bank, 投资=investment,
+股票=stock, 基金=fund, 你好=hello, 谢谢=thank you, 再见=goodbye, 对不起=sorry, 早上好=good morning, 晚上好=good evening,
+机器学习=machine learning, 深度学习=deep learning, 神经网络=neural network, 大数据=big data, 云计算=cloud computing,
+物联网=internet of things, 我喜欢=I like, 非常好=very good, 很好=very good, 很大=very big, 很重要=very important, 好=good, 坏=bad, 大=big,
+小=small, 多=many, 少=few, 高=high, 低=low, 长=long, 短=short, 新=new, 旧=old, 快=fast, 慢=slow, 重要=important, 简单=simple,
+复杂=complex, 正确=correct, 错误=wrong, 准确=accurate, 稳定=stable, 安全=safe, 快速=fast, 高效=efficient, 智能=intelligent, 自动=automatic,
+一=one, 二=two, 三=three, 四=four, 五=five, 六=six, 七=seven, 八=eight, 九=nine, 十=ten, 年=year, 月=month, 日=day, 小时=hour,
+分钟=minute"""
 
 KEY_TAGS = "n v a ns nr nt vn"
 KEY_STOP = "一个 一种 这个 那个 这些 那些 自己 可以 可能 应该 需要 进行 表示 认为 知道 觉得 开始 结束 完成 成为 使用 提供 支持 包括"
@@ -172,8 +174,9 @@ POLARITY_NAMES = "positive=积极 negative=消极 neutral=中性"
 # ---------------------------------------------------------------------------------------------------------------------
 
 
-def names(pairs: str) -> dict[str, str]:
-    return dict(p.split("=") for p in pairs.split())
+def names(pairs: str, separator: str | None = None) -> dict[str, str]:
+    """A dictionary of `key=value` entries."""
+    return dict(p.strip().split("=") for p in pairs.split(separator))
 
 
 def words(text: str) -> list[str]:
@@ -223,7 +226,7 @@ class Lexicon:
 
     @cached_property
     def zh_en(self) -> dict[str, str]:
-        return {k: v.replace("_", " ") for k, v in names(ZH_EN).items()}
+        return names(ZH_EN, ",")
 
     @cached_property
     def en_zh(self) -> dict[str, str]:
@@ -237,7 +240,7 @@ class Lexicon:
 def default_dictionary() -> dict[str, int]:
     spoken = [w for text in POS_WORDS.values() for w in text.split()]
     tagged = [t.split("/")[0] for t in TAGGED_SENTENCES.split()]
-    translated = list(names(ZH_EN))
+    translated = list(names(ZH_EN, ","))
     known = {*spoken, *tagged, *translated}
     simple = [w for w in translated if not any(w[:i] in known and w[i:] in known for i in range(1, len(w)))]
     return dict.fromkeys([*spoken, *tagged, *simple], 1)

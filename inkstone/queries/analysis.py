@@ -155,7 +155,7 @@ ORACLES = {
     "nearest_vectors": f"""
         WITH e AS (SELECT vec_id, {_DOUBLE} AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS s FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM p)
-        SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 10""",
+        SELECT query_id, vec_id, round(s, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10""",
     "centroid_assign": f"""
         WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest({_DOUBLE}) AS x FROM embeddings WHERE label IS NOT NULL),
         m AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM x GROUP BY label, i) GROUP BY label),

@@ -233,8 +233,8 @@ ORACLES = {
         f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
         s AS (SELECT doc_id, term, count, df, (count / length) * (ln(((SELECT count(*) FROM docs) + 1) / (df + 1)) + 1) AS weight FROM c JOIN f USING (term)),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS rank FROM s)
-        SELECT doc_id, term, count, df, round(weight, 6) AS weight, rank FROM r WHERE rank <= 5""",
-    "vocabulary": f"WITH {_WORDS}, {_vocab(300, 2)} SELECT term, count, rank FROM vocab",
+        SELECT doc_id, term, count, df, round(weight, 6) AS weight, rank::INT AS rank FROM r WHERE rank <= 5""",
+    "vocabulary": f"WITH {_WORDS}, {_vocab(300, 2)} SELECT term, count, rank::INT AS rank FROM vocab",
     "cooccurrence_edges": f"WITH {_WORDS}, {_edges(4, False, False)} SELECT src, dst, round(weight, 6) AS weight FROM edges",
     "ppmi_pairs": f"""WITH {_WORDS}, {_vocab(200, 1)}, {_edges(5, True, True)},
         r AS (SELECT src, sum(weight) AS s FROM edges GROUP BY src)

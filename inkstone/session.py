@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_scratch: dict[str, list[str]] = {}
 
 
 def local_session(cores: int | str = "*", **conf) -> SparkSession:
@@ -57,7 +58,19 @@ def filesystem(uri: str):
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/inkstone/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/inkstone/{name}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what operators have written to the shared folder so far; frames made of it cannot be computed after that."""
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
