@@ -122,7 +122,7 @@ def _block_ends(block: str) -> Iterator[int]:
         inside = at < len(outer) and outer[at][0] < m.start()
         if inside:
             closed = outer[at][1]
-            if not all(c in _CLOSE or c in "\"”’“‘" for c in block[m.end() : closed + 1]):
+            if not all(c in _CLOSE or c in "\"”’“‘" or c.isspace() for c in block[m.end() : closed + 1]):
                 continue  # more comes within the quotation
             end = closed + 1
         else:

@@ -177,6 +177,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     if rest not in names:
         names.append(rest)
     k = len(names)
+    if k > 62:
+        raise ValueError("at most 62 subjects")
     source = spread(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text is not null"), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -177,6 +177,10 @@ CASES = [
     ["Open setup.v2.exe at www.example.com/a.html now.", "Use Node.js and Yahoo!Tea there."],
     ["Am 19. Oktober kamen ca. 31 Gäste, z. B. aus Bonn.", "Das 3. Kapitel (vgl. S. 92) ist kurz!", "„Wer kommt?“, fragte er."],
     ["M. Blanc arrive, p. ex. avant midi.", "« Déjà fini ? » demanda-t-il.", "La page 3 du t. 2 coûte 5 euros !"],
+    ["Il a dit : « Bonjour. Ça va ? »", "Puis il partit.", "Il parlait de vol.", "Voici le vol. 3 complet."],
+    ["—¿Ya está? —preguntó la maestra.", "Sí."],
+    ["It rose to 3 kg at 9 a.m.", "10. Every dog barked.", "He said no.", "See No. 5 there."],
+    ["详见No. 12和Vol. 7。", "很好。"],
     ["El Sr. Paz y la Dra. Ruiz llegaron.", "¿Por qué?", "Trabaja en EE. UU. desde ayer."],
     ["आज टीम ने रिपोर्ट पढ़ी।", "\"क्या यह सही है?\" छात्र ने पूछा।", "डॉ. ओलो ने परीक्षा ली।"],
 ]
