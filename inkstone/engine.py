@@ -42,11 +42,11 @@ class Engine:
     # -- state and names -----------------------------------------------------------------------------------------------
 
     def status(self) -> dict:
-        return {"tasks": [self.stores.store(t).stats() for t in self.stores.tasks()], "stages": len(self.pipelines.stages), "dictionary": len(self.lexicon.segmentation)}
+        return {"tasks": [self.stores.store(t).stats() for t in self.stores.tasks()], "stages": len(self.pipelines.stages), "dictionary": len(self.lexicon.dictionary)}
 
     def meta(self) -> dict:
         """Names of tags, relations, phrases, entity types and polarities."""
-        return {k: L.names(v) for k, v in (("tags", L.TAG_NAMES), ("relations", L.RELATION_NAMES), ("phrases", L.PHRASE_NAMES), ("entities", L.ENTITY_NAMES), ("polarities", L.POLARITY_NAMES))}
+        return {"tags": L.TAG_NAMES, "relations": L.RELATION_NAMES, "phrases": L.PHRASE_NAMES, "entities": L.ENTITY_NAMES, "polarities": L.POLARITY_NAMES}
 
     # -- corpus --------------------------------------------------------------------------------------------------------
 
@@ -122,7 +122,7 @@ class Engine:
     def _parse(self, text: str) -> dict:
         words, tags = self._tagged(text)
         heads, relations = heads_of(tags)
-        tree = json.loads(constituency.as_json(constituency.parse_long(words, tags)))
+        tree = json.loads(constituency.as_json(self._k.grammar.parse(words, tags)))
         return {"dependency": {"words": words, "tags": tags, "heads": heads, "relations": relations}, "constituency": {"words": words, "tags": tags, "tree": tree}}
 
     def _ner(self, text: str) -> dict:

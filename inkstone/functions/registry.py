@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..models.constituency import as_json, parse_long
+from ..models.constituency import as_json
 from ..models.kernels import kernels
 from ..models.lexicon import DEFAULT, Lexicon
 from ..operators.dependency import heads_of
@@ -21,7 +21,7 @@ def register_functions(spark: SparkSession, lexicon: Lexicon = DEFAULT) -> None:
     register("tag", "array<string>", lambda w: None if w is None else kernels(lexicon).tagger.tag(list(w)))
     register("to_english", "string", lambda t: None if t is None else kernels(lexicon).translator.to_english(t))
     register("heads", "array<int>", lambda t: None if t is None else heads_of(list(t))[0])
-    register("phrase_tree", "string", lambda w, t: None if w is None or t is None else as_json(parse_long(list(w), list(t))))
+    register("phrase_tree", "string", lambda w, t: None if w is None or t is None else as_json(kernels(lexicon).grammar.parse(list(w), list(t))))
 
     @F.udtf(returnType="start int, end int, text string, type string")
     class Entities:

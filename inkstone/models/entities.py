@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
-from .lexicon import GIVEN_NAME_CHARACTERS, LOC_SUFFIXES, ORG_SUFFIXES, TITLES, Lexicon
+from .lexicon import Lexicon
 from .segment import Segmenter
 
 # Entity patterns in order of priority.
@@ -27,21 +27,20 @@ class EntityFinder:
         self.known = known
         # the longest name that begins at a place, places within a name found are passed over
         self.names = re.compile("|".join(sorted(map(re.escape, known), key=len, reverse=True)) or r"(?!)")
-        self.org, self.loc, self.titles = (tuple(x.split()) for x in (ORG_SUFFIXES, LOC_SUFFIXES, TITLES))
-        self.given = set(GIVEN_NAME_CHARACTERS)
 
     def by_form(self, word: str) -> str | None:
         if len(word) < 2 or not all("一" <= c <= "鿿" for c in word):
             return None
-        if any(word.endswith(s) and len(word) > len(s) for s in self.org):
+        lex = self.lexicon
+        if any(word.endswith(s) and len(word) > len(s) for s in lex.organization_suffixes):
             return "ORGANIZATION"
-        if any(word.endswith(s) and len(word) > len(s) for s in self.loc):
+        if any(word.endswith(s) and len(word) > len(s) for s in lex.location_suffixes):
             return "LOCATION"
-        named = len(word) <= 3 and word[0] in self.lexicon.surnames and word not in self.lexicon.segmentation and not word.endswith(self.titles)
-        return "PERSON" if named and (len(word) == 2 or word[1] in self.given) else None
+        named = len(word) <= 3 and word[0] in lex.surnames and word not in lex.dictionary and not word.endswith(lex.titles)
+        return "PERSON" if named and (len(word) == 2 or word[1] in lex.given_characters) else None
 
-    def find(self, text: str | None) -> list[tuple[int, int, str, str]]:
-        """(start, end, text, type) in order of start; offsets count code points."""
+    def find(self, text: str | None, words: list[str] | None = None) -> list[tuple[int, int, str, str]]:
+        """(start, end, text, type) in order of start; offsets count code points. words: of the text, if they are known."""
         if not text:
             return []
         found: list[tuple[int, int, str]] = []  # disjoint, in order
@@ -59,7 +58,7 @@ class EntityFinder:
         for m in self.names.finditer(text):
             offer(*m.span(), self.known[m.group()])
         at = 0
-        for word in self.segmenter.cut(text):
+        for word in self.segmenter.cut(text) if words is None else words:
             place = text.find(word, at)
             at = (at if place < 0 else place) + len(word)
             if kind := self.by_form(word):

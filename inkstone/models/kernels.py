@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.dependency import heads_of
-from ..operators.graph import pagerank_of
+from ..operators.graph import pagerank_of, summed_edges
 from . import constituency
 from .entities import EntityFinder
-from .lexicon import DEFAULT, KEY_STOP, KEY_TAGS, Lexicon
+from .lexicon import DEFAULT, Lexicon
 from .segment import Segmenter
 from .tagger import Tagger
 from .translate import Translator
@@ -26,17 +26,17 @@ from .translate import Translator
 _TYPES = {"int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
 
 
-def _rows(fields: str) -> T.StructType:
+def rows(fields: str) -> T.StructType:
     """A struct type of 'name:type' fields; types need no session this way, so workers can import this module."""
     return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split(":") for f in fields.split())])
 
 
 WORDS = T.ArrayType(T.StringType())
-ENTITIES = T.ArrayType(_rows("start:int end:int text:string type:string"))
-TREE = T.ArrayType(_rows("node:int parent:int place:int label:string word:string start:int end:int"))
+ENTITIES = T.ArrayType(rows("start:int end:int text:string type:string"))
+TREE = T.ArrayType(rows("node:int parent:int place:int label:string word:string start:int end:int"))
 HEADS = T.StructType([T.StructField("heads", T.ArrayType(T.IntegerType())), T.StructField("relations", WORDS)])
-KEYWORDS = T.StructType([T.StructField("keywords", T.ArrayType(_rows("word:string score:double freq:double"))), T.StructField("method", T.StringType())])
-SUMMARY = T.StructType([T.StructField("summary", T.StringType()), T.StructField("sentences", T.ArrayType(_rows("index:int text:string score:double selected:boolean"))), T.StructField("top_indices", T.ArrayType(T.IntegerType()))])
+KEYWORDS = T.StructType([T.StructField("keywords", T.ArrayType(rows("word:string score:double freq:double"))), T.StructField("method", T.StringType())])
+SUMMARY = T.StructType([T.StructField("summary", T.StringType()), T.StructField("sentences", T.ArrayType(rows("index:int text:string score:double selected:boolean"))), T.StructField("top_indices", T.ArrayType(T.IntegerType()))])
 
 # Sentence ends, similarity from which sentences are linked, and weight of a sentence's place.
 _SENTENCES = re.compile(r"[。！？!?；;\n]+|(?<=[.!?])\s+")
@@ -45,7 +45,7 @@ _HAN = re.compile("[一-鿿]")
 
 
 class Kernels:
-    """Models of one lexicon, each made when it is first used."""
+    """Models of one lexicon, each made when it is first used. A subclass with other models can be given to every operator."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
@@ -66,6 +66,10 @@ class Kernels:
     def translator(self) -> Translator:
         return Translator(self.lexicon, self.segmenter)
 
+    @cached_property
+    def grammar(self) -> constituency.Grammar:
+        return constituency.Grammar(self.lexicon.grammar, self.lexicon.preference)
+
     def content_words(self, words: list[str]) -> list[str]:
         stop = self.lexicon.stop_words
         return [w for w in words if w not in stop and (len(w) > 1 or _HAN.search(w)) and w.strip()]
@@ -75,7 +79,7 @@ class Kernels:
 
         An unknown method is hybrid. Equal scores keep the order of first occurrence. Without candidates: no keywords, no method.
         """
-        allowed, stop = set(KEY_TAGS.split()), set(KEY_STOP.split())
+        allowed, stop = set(self.lexicon.key_tags), set(self.lexicon.key_stop)
         chosen = self.content_words([w for w, t in zip(words, tags) if t in allowed and w is not None and w not in stop])
         if not chosen:
             return {"keywords": [], "method": None}
@@ -83,14 +87,12 @@ class Kernels:
         number = {w: i for i, w in enumerate(names)}
         at = np.array([number[w] for w in chosen])
         count = np.bincount(at)
-        a, b, weight = [], [], []
-        for d in range(1, WINDOW):
-            p, q = at[:-d], at[d:]
-            apart = p != q
-            a += [p[apart], q[apart]]
-            b += [q[apart], p[apart]]
-            weight += [np.full(2 * int(apart.sum()), 1.0 / d)]
-        rank = pagerank_of(len(names), np.concatenate(a), np.concatenate(b), np.concatenate(weight))
+        # pairs from left to right, nearer ones first, each in both directions
+        i, d = (x.ravel() for x in np.meshgrid(np.arange(len(at)), np.arange(1, WINDOW), indexing="ij"))
+        i, d = i[i + d < len(at)], d[i + d < len(at)]
+        i, d = i[at[i] != at[i + d]], d[at[i] != at[i + d]]
+        a, b = np.stack([at[i], at[i + d]], 1).ravel(), np.stack([at[i + d], at[i]], 1).ravel()
+        rank = pagerank_of(len(names), *summed_edges(len(names), a, b, np.repeat(1.0 / d, 2)))
         often, central = count / count.max(), rank / rank.max()
         score = {"tfidf": often, "textrank": central}.get(method, 0.5 * often + 0.5 * central)
         best = np.argsort(-score, kind="stable")[:top_k]
@@ -141,17 +143,17 @@ class Kernels:
         return {"summary": "".join(parts[i] + "。" for i in chosen), "sentences": [{"index": i, "text": p, "score": round(float(score[i]), 4), "selected": i in set(chosen)} for i, p in enumerate(parts)], "top_indices": chosen}
 
 
-_made: dict[str, Kernels] = {}
+_made: dict[tuple[str, str], Kernels] = {}
 
 
-def kernels(lexicon: Lexicon) -> Kernels:
-    key = lexicon.fingerprint
+def kernels(lexicon: Lexicon, models: type[Kernels] = Kernels) -> Kernels:
+    key = lexicon.fingerprint, models.__qualname__
     if key not in _made:
-        _made[key] = Kernels(lexicon)
+        _made[key] = models(lexicon)
     return _made[key]
 
 
-def column_function(kernel: Callable, kind: T.DataType, lexicon: Lexicon = DEFAULT, safe: bool = False) -> Callable[..., Column]:
+def column_function(kernel: Callable, kind: T.DataType, lexicon: Lexicon = DEFAULT, safe: bool = False, models: type[Kernels] = Kernels) -> Callable[..., Column]:
     """A column function of kernel(kernels, *values); null first values give null.
 
     safe: the column is struct<value, error>, so that one row's exception is that row's error and nothing else.
@@ -169,7 +171,7 @@ def column_function(kernel: Callable, kind: T.DataType, lexicon: Lexicon = DEFAU
             return {"value": None, "error": f"{type(x).__name__}: {x}"}
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        k, arrow = kernels(lexicon), to_arrow_type(result)
+        k, arrow = kernels(lexicon, models), to_arrow_type(result)
         for columns in batches:
             yield pa.array([one(k, v) for v in zip(*(c.to_pylist() for c in columns))], arrow)
 
@@ -189,12 +191,11 @@ def pos_tags(words, lexicon: Lexicon = DEFAULT, safe: bool = False) -> Column:
 
 
 def entities(text, lexicon: Lexicon = DEFAULT, safe: bool = False) -> Column:
-    return column_function(lambda k, t, *_: [dict(zip(("start", "end", "text", "type"), e)) for e in k.finder.find(t)], ENTITIES, lexicon, safe)(text)
+    return column_function(lambda k, t, *_: k.finder.find(t), ENTITIES, lexicon, safe)(text)
 
 
-def phrase_tree(words, tags, safe: bool = False) -> Column:
-    names = TREE.elementType.fieldNames()
-    return column_function(lambda k, w, t: [dict(zip(names, x)) for x in constituency.parse_long(w, t)], TREE, DEFAULT, safe)(words, tags)
+def phrase_tree(words, tags, lexicon: Lexicon = DEFAULT, safe: bool = False) -> Column:
+    return column_function(lambda k, w, t: k.grammar.parse(w, t), TREE, lexicon, safe)(words, tags)
 
 
 def dependency_arrays(words, tags, safe: bool = False) -> Column:

@@ -1,10 +1,12 @@
-"""Word lists and small models' training data. All of them are defaults: every operator takes others as parameters."""
+"""Word lists and small models' training data. All of them are defaults: a Lexicon with others is a parameter of every operator."""
 
 from __future__ import annotations
 
 import hashlib
+import pkgutil
+from collections.abc import Iterable
 from dataclasses import dataclass, field, fields
-from functools import cached_property
+from functools import cache, cached_property
 
 # ---------------------------------------------------------------------------------------------------------------------
 # Results are defined by these lists.
@@ -42,9 +44,12 @@ NEGATIVE = """坏 差 糟糕 恶劣 失败 失望 讨厌 恨 烦 累 难过 伤
 损坏 污染 浪费 昂贵 缓慢 迟钝 笨拙 愚蠢 愚昧 落后 保守 僵化 陈旧 消极 悲观 颓废 懒惰 怯懦 软弱 依赖 犹豫 拖延 破产 倒闭 裁员 失业 贫困 贫穷 饥荒
 灾难 事故 伤亡 死亡 疾病 疫情 战争 冲突 暴力 侵略 破坏 摧毁 毁灭 恶化 加剧 严重 惨重"""
 
-DEGREE = """极其 3.0 极 3.0 极度 3.0 非常 2.5 十分 2.5 特别 2.5 尤其 2.5 格外 2.5 分外 2.5 最为 3.0 最 2.0 很 1.8 挺 1.8 太 2.0 真 1.8 好 1.8
-相当 1.8 比较 1.5 较 1.5 有点 1.3 有些 1.3 稍微 1.2 略微 1.2 略 1.2 稍 1.2 更加 2.0 更 1.8 越来越 2.0 越发 2.0 颇 1.8 蛮 1.5 十足 2.5 完全 2.0
-绝对 2.5 彻底 2.0"""
+DEGREE = {
+    "极其": 3.0, "极": 3.0, "极度": 3.0, "非常": 2.5, "十分": 2.5, "特别": 2.5, "尤其": 2.5, "格外": 2.5, "分外": 2.5, "最为": 3.0, "最": 2.0,
+    "很": 1.8, "挺": 1.8, "太": 2.0, "真": 1.8, "好": 1.8, "相当": 1.8, "比较": 1.5, "较": 1.5, "有点": 1.3, "有些": 1.3, "稍微": 1.2, "略微": 1.2,
+    "略": 1.2, "稍": 1.2, "更加": 2.0, "更": 1.8, "越来越": 2.0, "越发": 2.0, "颇": 1.8, "蛮": 1.5, "十足": 2.5, "完全": 2.0, "绝对": 2.5,
+    "彻底": 2.0,
+}
 
 NEGATION = "不 没 没有 无 非 别 未 莫 勿 否认"
 
@@ -61,11 +66,13 @@ ORG_SUFFIXES = "公司 集团 大学 学院 研究所 研究院 中心 委员会
 LOC_SUFFIXES = "省 市 县 区 镇 村 街道 路 大道 山 河 湖 海 岛 湾 公园 广场 机场 车站 港口"
 TITLES = "先生 女士 小姐 同志 老师 教授 博士 经理 局长 主席 书记"
 GIVEN_NAME_CHARACTERS = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华玉兰春凤梅红萍琳雪峰辉斌宇浩凯文轩阳晨琪欣怡然雨桐子涵诗博俊"
-#: The commonest family names; the full list is a parameter.
-SURNAMES = "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄"
 
-TAGS = "n v a d r p c u m q t f ns nr nt x"
-SUFFIX_TAGS = "们:n,r 者:n 员:n 家:n 性:n,a 度:n 率:n 量:n 子:n 头:n 化:v,n 了:u,v 着:u,v 过:u,v 的:u,a 地:u,d 得:u,v 上:f,n 下:f,n 中:f,n 里:f,n 内:f,n 外:f,n 前:f,t 后:f,t"
+TAGS = ("n", "v", "a", "d", "r", "p", "c", "u", "m", "q", "t", "f", "ns", "nr", "nt", "x")
+SUFFIX_TAGS = {
+    "们": ("n", "r"), "者": ("n",), "员": ("n",), "家": ("n",), "性": ("n", "a"), "度": ("n",), "率": ("n",), "量": ("n",), "子": ("n",),
+    "头": ("n",), "化": ("v", "n"), "了": ("u", "v"), "着": ("u", "v"), "过": ("u", "v"), "的": ("u", "a"), "地": ("u", "d"), "得": ("u", "v"),
+    "上": ("f", "n"), "下": ("f", "n"), "中": ("f", "n"), "里": ("f", "n"), "内": ("f", "n"), "外": ("f", "n"), "前": ("f", "t"), "后": ("f", "t"),
+}
 
 TAGGED_SENTENCES = """自然语言/n 处理/v 是/v 人工智能/n 的/u 重要/a 分支/n
 我/r 喜欢/v 自然语言/n 处理/v
@@ -144,56 +151,125 @@ LABELLED = {
 各方面表现均衡""",
 }
 
-ZH_EN = """我=I, 你=you, 他=he, 她=she, 它=it, 我们=we, 你们=you, 他们=they, 是=is, 有=have, 在=in, 和=and, 的=of, 喜欢=like, 爱=love, 想=want, 说=say,
-看=see, 学习=learn, 工作=work, 生活=life, 研究=research, 开发=develop, 使用=use, 实现=implement, 提供=provide, 支持=support, 帮助=help,
-需要=need, 可以=can, 今天=today, 明天=tomorrow, 昨天=yesterday, 现在=now, 未来=future, 时间=time, 世界=world, 国家=country, 中国=China,
-美国=America, 日本=Japan, 北京=Beijing, 上海=Shanghai, 公司=company, 大学=university, 学校=school, 老师=teacher, 学生=student, 朋友=friend,
-家庭=family, 孩子=child, 人=people, 人类=human, 社会=society, 经济=economy, 科技=technology, 技术=technology, 计算机=computer,
-互联网=internet, 人工智能=artificial intelligence, 数据=data, 信息=information, 系统=system, 平台=platform, 网络=network, 软件=software,
-硬件=hardware, 程序=program, 算法=algorithm, 模型=model, 语言=language, 自然语言=natural language, 文本=text, 新闻=news, 文章=article,
-问题=problem, 方法=method, 结果=result, 过程=process, 目标=goal, 功能=function, 性能=performance, 质量=quality, 速度=speed,
-效率=efficiency, 成本=cost, 价格=price, 市场=market, 产品=product, 服务=service, 用户=user, 客户=customer, 设计=design, 管理=manage,
-分析=analyze, 教育=education, 健康=health, 环境=environment, 资源=resource, 能源=energy, 金融=finance, 银行=bank, 投资=investment,
-股票=stock, 基金=fund, 你好=hello, 谢谢=thank you, 再见=goodbye, 对不起=sorry, 早上好=good morning, 晚上好=good evening,
-机器学习=machine learning, 深度学习=deep learning, 神经网络=neural network, 大数据=big data, 云计算=cloud computing,
-物联网=internet of things, 我喜欢=I like, 非常好=very good, 很好=very good, 很大=very big, 很重要=very important, 好=good, 坏=bad, 大=big,
-小=small, 多=many, 少=few, 高=high, 低=low, 长=long, 短=short, 新=new, 旧=old, 快=fast, 慢=slow, 重要=important, 简单=simple,
-复杂=complex, 正确=correct, 错误=wrong, 准确=accurate, 稳定=stable, 安全=safe, 快速=fast, 高效=efficient, 智能=intelligent, 自动=automatic,
-一=one, 二=two, 三=three, 四=four, 五=five, 六=six, 七=seven, 八=eight, 九=nine, 十=ten, 年=year, 月=month, 日=day, 小时=hour,
-分钟=minute"""
-
-KEY_TAGS = "n v a ns nr nt vn"
+ZH_EN = {
+    "我": "I", "你": "you", "他": "he", "她": "she", "它": "it", "我们": "we", "你们": "you", "他们": "they", "是": "is", "有": "have", "在": "in",
+    "和": "and", "的": "of", "喜欢": "like", "爱": "love", "想": "want", "说": "say", "看": "see", "学习": "learn", "工作": "work", "生活": "life",
+    "研究": "research", "开发": "develop", "使用": "use", "实现": "implement", "提供": "provide", "支持": "support", "帮助": "help", "需要": "need",
+    "可以": "can", "今天": "today", "明天": "tomorrow", "昨天": "yesterday", "现在": "now", "未来": "future", "时间": "time", "世界": "world",
+    "国家": "country", "中国": "China", "美国": "America", "日本": "Japan", "北京": "Beijing", "上海": "Shanghai", "公司": "company",
+    "大学": "university", "学校": "school", "老师": "teacher", "学生": "student", "朋友": "friend", "家庭": "family", "孩子": "child",
+    "人": "people", "人类": "human", "社会": "society", "经济": "economy", "科技": "technology", "技术": "technology", "计算机": "computer",
+    "互联网": "internet", "人工智能": "artificial intelligence", "数据": "data", "信息": "information", "系统": "system", "平台": "platform",
+    "网络": "network", "软件": "software", "硬件": "hardware", "程序": "program", "算法": "algorithm", "模型": "model", "语言": "language",
+    "自然语言": "natural language", "文本": "text", "新闻": "news", "文章": "article", "问题": "problem", "方法": "method", "结果": "result",
+    "过程": "process", "目标": "goal", "功能": "function", "性能": "performance", "质量": "quality", "速度": "speed", "效率": "efficiency",
+    "成本": "cost", "价格": "price", "市场": "market", "产品": "product", "服务": "service", "用户": "user", "客户": "customer", "设计": "design",
+    "管理": "manage", "分析": "analyze", "教育": "education", "健康": "health", "环境": "environment", "资源": "resource", "能源": "energy",
+    "金融": "finance", "银行": "bank", "投资": "investment", "股票": "stock", "基金": "fund", "你好": "hello", "谢谢": "thank you",
+    "再见": "goodbye", "对不起": "sorry", "早上好": "good morning", "晚上好": "good evening", "机器学习": "machine learning",
+    "深度学习": "deep learning", "神经网络": "neural network", "大数据": "big data", "云计算": "cloud computing", "物联网": "internet of things",
+    "我喜欢": "I like", "非常好": "very good", "很好": "very good", "很大": "very big", "很重要": "very important", "好": "good", "坏": "bad",
+    "大": "big", "小": "small", "多": "many", "少": "few", "高": "high", "低": "low", "长": "long", "短": "short", "新": "new", "旧": "old",
+    "快": "fast", "慢": "slow", "重要": "important", "简单": "simple", "复杂": "complex", "正确": "correct", "错误": "wrong", "准确": "accurate",
+    "稳定": "stable", "安全": "safe", "快速": "fast", "高效": "efficient", "智能": "intelligent", "自动": "automatic", "一": "one", "二": "two",
+    "三": "three", "四": "four", "五": "five", "六": "six", "七": "seven", "八": "eight", "九": "nine", "十": "ten", "年": "year", "月": "month",
+    "日": "day", "小时": "hour", "分钟": "minute",
+}
+
+KEY_TAGS = ("n", "v", "a", "ns", "nr", "nt", "vn")
 KEY_STOP = "一个 一种 这个 那个 这些 那些 自己 可以 可能 应该 需要 进行 表示 认为 知道 觉得 开始 结束 完成 成为 使用 提供 支持 包括"
 
-TAG_NAMES = "n=名词 v=动词 a=形容词 d=副词 r=代词 p=介词 c=连词 u=助词 m=数词 q=量词 t=时间词 f=方位词 ns=地名 nr=人名 nt=机构 x=其他"
-RELATION_NAMES = "root=核心 nsubj=主语 dobj=宾语 amod=定语修饰 nummod=数量修饰 advmod=状语修饰 conj=并列 mark=助词 case=介词 clf=量词 lobj=方位 tmod=时间修饰 compound=复合词 punct=标点 attr=系词补语 dep=其它"
-PHRASE_NAMES = "S=句子 NP=名词短语 VP=动词短语 AP=形容词短语 PP=介词短语 ADVP=副词短语 P=介词 CONJ=连词 U=助词 TP=时间短语"
-ENTITY_NAMES = "PERSON=人名 LOCATION=地名 ORGANIZATION=机构 TIME=时间 DATE=日期 NUMBER=数字 MONEY=金额 PERCENT=百分比"
-POLARITY_NAMES = "positive=积极 negative=消极 neutral=中性"
+TAG_NAMES = {
+    "n": "名词", "v": "动词", "a": "形容词", "d": "副词", "r": "代词", "p": "介词", "c": "连词", "u": "助词", "m": "数词", "q": "量词",
+    "t": "时间词", "f": "方位词", "ns": "地名", "nr": "人名", "nt": "机构", "x": "其他",
+}
+RELATION_NAMES = {
+    "root": "核心", "nsubj": "主语", "dobj": "宾语", "amod": "定语修饰", "nummod": "数量修饰", "advmod": "状语修饰", "conj": "并列", "mark": "助词",
+    "case": "介词", "clf": "量词", "lobj": "方位", "tmod": "时间修饰", "compound": "复合词", "punct": "标点", "attr": "系词补语", "dep": "其它",
+}
+PHRASE_NAMES = {
+    "S": "句子", "NP": "名词短语", "VP": "动词短语", "AP": "形容词短语", "PP": "介词短语", "ADVP": "副词短语", "P": "介词", "CONJ": "连词",
+    "U": "助词", "TP": "时间短语",
+}
+ENTITY_NAMES = {
+    "PERSON": "人名", "LOCATION": "地名", "ORGANIZATION": "机构", "TIME": "时间", "DATE": "日期", "NUMBER": "数字", "MONEY": "金额",
+    "PERCENT": "百分比",
+}
+POLARITY_NAMES = {
+    "positive": "积极", "negative": "消极", "neutral": "中性",
+}
+
+# The grammar of phrases, in the order that decides between derivations; labels from most to least preferred.
+GRAMMAR = (
+    ("NP", ("n",)), ("NP", ("r",)), ("NP", ("ns",)), ("NP", ("nr",)), ("NP", ("nt",)), ("NP", ("t",)), ("NP", ("f",)), ("NP", ("m",)), ("NP", ("q",)), ("NP", ("x",)),
+    ("VP", ("v",)), ("AP", ("a",)), ("ADVP", ("d",)), ("P", ("p",)), ("CONJ", ("c",)), ("U", ("u",)),
+    ("NP", ("a", "n")), ("NP", ("m", "n")), ("NP", ("m", "q")), ("NP", ("NP", "NP")), ("NP", ("NP", "U")), ("NP", ("NP", "PP")), ("NP", ("n", "v")), ("NP", ("v", "n")),
+    ("VP", ("v", "NP")), ("VP", ("v", "VP")), ("VP", ("d", "VP")), ("VP", ("ADVP", "VP")), ("VP", ("VP", "U")), ("VP", ("VP", "PP")), ("VP", ("VP", "NP")),
+    ("AP", ("d", "AP")), ("AP", ("ADVP", "AP")), ("PP", ("P", "NP")), ("TP", ("NP", "f")),
+    ("S", ("NP", "VP")), ("S", ("NP", "AP")), ("S", ("NP", "TP")), ("S", ("S", "PP")), ("S", ("S", "CONJ")),
+)
+PREFERENCE = ("S", "VP", "NP", "AP", "TP", "PP", "ADVP", "P", "CONJ", "U")
 
 # ---------------------------------------------------------------------------------------------------------------------
 
 
-def names(pairs: str, separator: str | None = None) -> dict[str, str]:
-    """A dictionary of `key=value` entries."""
-    return dict(p.strip().split("=") for p in pairs.split(separator))
+def words(text: str) -> tuple[str, ...]:
+    """The distinct words of a list, in its order."""
+    return tuple(dict.fromkeys(text.split()))
 
 
-def words(text: str) -> list[str]:
-    """The distinct words of a list, in its order."""
-    return list(dict.fromkeys(text.split()))
+def read_dictionary(lines: Iterable[str], onto: dict[str, int] | None = None) -> dict[str, int]:
+    """word -> frequency of lines `word [frequency [anything]]`, on top of another dictionary.
+
+    The greatest frequency of a word counts, 1 where none is given. Lines that begin with # are comments.
+    """
+    out = dict(onto or {})
+    for line in lines:
+        parts = line.split()
+        if parts and not line.startswith("#"):
+            out[parts[0]] = max(out.get(parts[0], 0), int(parts[1]) if len(parts) > 1 else 1)
+    return out
+
+
+@cache
+def _data(name: str) -> tuple[str, ...]:
+    """The lines of one of the package's data files, without comments."""
+    text = pkgutil.get_data("inkstone", f"data/{name}").decode()
+    return tuple(line for line in text.splitlines() if not line.startswith("#"))
+
+
+def default_dictionary() -> dict[str, int]:
+    return read_dictionary(w for line in _data("words.txt") for w in line.split())
+
+
+def default_surnames() -> frozenset[str]:
+    return frozenset("".join(_data("surnames.txt")))
+
+
+def _tagged_sentences() -> list[list[tuple[str, str]]]:
+    return [[tuple(t.split("/")) for t in line.split()] for line in TAGGED_SENTENCES.splitlines()]
+
+
+def _labelled_texts() -> list[tuple[str, str]]:
+    return [(line, label) for label, text in LABELLED.items() for line in text.splitlines()]
+
+
+def _constant(value):
+    return field(default_factory=lambda: value)
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """All word lists an analysis uses. `dictionary` (word -> frequency) is what texts are segmented with.
+    """All word lists and training sentences an analysis uses; every one of them can be given.
 
-    Its default is built by rule from the other lists: every word that has a part of speech, every word of the tagged
-    sentences and every translated word that is not made up of two other words of these; all with frequency 1.
+    dictionary: word -> frequency, what texts are segmented with. A larger one is best merged with the default by
+    `Lexicon.with_dictionary`. tagged: sentences of (word, tag). labelled: (text, label). grammar: (label, parts) of one or two
+    parts each, in the order that decides between derivations; preference: labels from most to least preferred.
     """
 
-    dictionary: dict[str, int] = field(default_factory=dict)
-    surnames: frozenset[str] = frozenset(SURNAMES)
+    dictionary: dict[str, int] = field(default_factory=default_dictionary)
+    surnames: frozenset[str] = field(default_factory=default_surnames)
+    given_characters: frozenset[str] = frozenset(GIVEN_NAME_CHARACTERS)
     stop_words: frozenset[str] = frozenset(words(STOP_ZH) + words(STOP_EN))
     locations: frozenset[str] = frozenset(words(LOCATIONS))
     organizations: frozenset[str] = frozenset(words(ORGANIZATIONS))
@@ -201,33 +277,31 @@ class Lexicon:
     positive: frozenset[str] = frozenset(words(POSITIVE))
     negative: frozenset[str] = frozenset(words(NEGATIVE))
     negation: frozenset[str] = frozenset(words(NEGATION))
+    degree: dict[str, float] = _constant(DEGREE)
+    parts_of_speech: dict[str, str] = _constant({w: tag for tag, text in POS_WORDS.items() for w in text.split()})
+    tags: tuple[str, ...] = TAGS
+    tagged: list[list[tuple[str, str]]] = field(default_factory=_tagged_sentences)
+    suffix_tags: dict[str, tuple[str, ...]] = _constant(SUFFIX_TAGS)
+    labelled: list[tuple[str, str]] = field(default_factory=_labelled_texts)
+    zh_en: dict[str, str] = _constant(ZH_EN)
+    organization_suffixes: tuple[str, ...] = words(ORG_SUFFIXES)
+    location_suffixes: tuple[str, ...] = words(LOC_SUFFIXES)
+    titles: tuple[str, ...] = words(TITLES)
+    key_tags: tuple[str, ...] = KEY_TAGS
+    key_stop: tuple[str, ...] = words(KEY_STOP)
+    grammar: tuple[tuple[str, tuple[str, ...]], ...] = GRAMMAR
+    preference: tuple[str, ...] = PREFERENCE
+
+    @classmethod
+    def with_dictionary(cls, lines: Iterable[str], **others) -> "Lexicon":
+        """A lexicon whose dictionary is the default one with the words of `lines` (as of a file), the greater frequency of each."""
+        return cls(dictionary=read_dictionary(lines, default_dictionary()), **others)
 
     @cached_property
     def fingerprint(self) -> str:
-        parts = [sorted(x.items()) if isinstance(x, dict) else sorted(x) for x in (getattr(self, f.name) for f in fields(self))]
+        parts = [sorted(x) if isinstance(x, frozenset) else sorted(x.items()) if f.name == "dictionary" else list(x.items()) if isinstance(x, dict) else x for f in fields(self) for x in [getattr(self, f.name)]]
         return hashlib.md5(repr(parts).encode()).hexdigest()
 
-    @cached_property
-    def segmentation(self) -> dict[str, int]:
-        return dict(self.dictionary) or default_dictionary()
-
-    @cached_property
-    def degree(self) -> dict[str, float]:
-        parts = DEGREE.split()
-        return {w: float(x) for w, x in zip(parts[::2], parts[1::2])}
-
-    @cached_property
-    def parts_of_speech(self) -> dict[str, str]:
-        return {w: tag for tag, text in POS_WORDS.items() for w in text.split()}
-
-    @cached_property
-    def tagged(self) -> list[list[tuple[str, str]]]:
-        return [[tuple(t.split("/")) for t in line.split()] for line in TAGGED_SENTENCES.splitlines()]
-
-    @cached_property
-    def zh_en(self) -> dict[str, str]:
-        return names(ZH_EN, ",")
-
     @cached_property
     def en_zh(self) -> dict[str, str]:
         """English to Chinese: the first word with a translation counts."""
@@ -237,23 +311,4 @@ class Lexicon:
         return out
 
 
-def default_dictionary() -> dict[str, int]:
-    spoken = [w for text in POS_WORDS.values() for w in text.split()]
-    tagged = [t.split("/")[0] for t in TAGGED_SENTENCES.split()]
-    translated = list(names(ZH_EN, ","))
-    known = {*spoken, *tagged, *translated}
-    simple = [w for w in translated if not any(w[:i] in known and w[i:] in known for i in range(1, len(w)))]
-    return dict.fromkeys([*spoken, *tagged, *simple], 1)
-
-
-def read_dictionary(lines) -> dict[str, int]:
-    """word -> frequency of lines `word [frequency]`; the greatest frequency of a word counts, 1 where none is given."""
-    out: dict[str, int] = {}
-    for line in lines:
-        parts = line.split()
-        if parts:
-            out[parts[0]] = max(out.get(parts[0], 0), int(parts[1]) if len(parts) > 1 else 1)
-    return out
-
-
 DEFAULT = Lexicon()

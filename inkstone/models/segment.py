@@ -15,7 +15,7 @@ UNKNOWN_WEIGHT, CHARACTER_ADD_K = 0.4, 0.001
 
 class Segmenter:
     def __init__(self, lexicon: Lexicon):
-        freq = lexicon.segmentation
+        freq = lexicon.dictionary
         total = max(sum(freq.values()), 1)
         self.score = {w: math.log(f / total) for w, f in freq.items()}
         self.unknown = math.log(UNKNOWN_WEIGHT / total)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from .hmm import Hmm
-from .lexicon import LOC_SUFFIXES, ORG_SUFFIXES, SUFFIX_TAGS, TAGS, Lexicon
+from .lexicon import Lexicon
 
 TAG_ADD_K = 0.01
 _NEVER = float("-inf")
@@ -15,12 +15,10 @@ _NUMBER, _DATE, _DIGIT = re.compile(r"[0-9]+(?:[.][0-9]+)?%?"), re.compile(r"[0-
 class Tagger:
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.tags = TAGS.split()
+        self.tags = list(lexicon.tags)
         self.hmm = Hmm(self.tags, TAG_ADD_K).fit([*lexicon.tagged, *([(w, t)] for w, t in lexicon.parts_of_speech.items())])
-        self.suffixes = [(s, t.split(",")) for s, t in (x.split(":") for x in SUFFIX_TAGS.split())]
         self._start, self._trans = self.hmm.start.tolist(), self.hmm.trans.tolist()
         self._known: dict[str, tuple[list[int], list[float], str]] = {}
-        self.loc, self.org = tuple(LOC_SUFFIXES.split()), tuple(ORG_SUFFIXES.split())
 
     def candidates(self, word: str) -> list[str]:
         """Tags a word can have, the first rule that fits decides."""
@@ -38,13 +36,13 @@ class Tagger:
             return ["t"]
         if _DIGIT.search(word):
             return ["m", "n"]
-        if word.endswith(self.loc):
+        if word.endswith(lex.location_suffixes):
             return ["ns", "n"]
-        if word.endswith(self.org):
+        if word.endswith(lex.organization_suffixes):
             return ["nt", "n"]
         if len(word) <= 3 and word[0] in lex.surnames:
             return ["nr", "n"]
-        return next((tags for suffix, tags in self.suffixes if word.endswith(suffix)), ["n", "v", "a"])
+        return next((list(tags) for suffix, tags in lex.suffix_tags.items() if word.endswith(suffix)), ["n", "v", "a"])
 
     def tag(self, words: list[str]) -> list[str]:
         """One tag per word. The search keeps only candidate tags, in the order of the tag set (which decides ties)."""

@@ -11,15 +11,43 @@ from ..session import written
 DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
 
 
+def summed_edges(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Repeated edges added up, by source and, within one, in order of their first occurrence."""
+    _, first, which = np.unique(src * n + dst, return_index=True, return_inverse=True)
+    total = np.bincount(which, weight, len(first))
+    order = np.lexsort((first, src[first]))
+    return src[first][order], dst[first][order], total[order]
+
+
+def exact_sums(n: int, group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Sums by group, carrying along what each addition rounds off."""
+    total, lost = np.zeros(n), np.zeros(n)
+    order = np.argsort(group, kind="stable")
+    place = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+    # the i-th value of every group at once
+    by_place = np.argsort(place, kind="stable")
+    for step in np.split(order[by_place], np.flatnonzero(np.diff(place[by_place])) + 1):
+        g, v = group[step], value[step]
+        new = total[g] + v
+        lost[g] += np.where(np.abs(total[g]) >= np.abs(v), (total[g] - new) + v, (v - new) + total[g])
+        total[g] = new
+    return total + lost
+
+
 def pagerank_of(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Scores of the nodes 0 .. n-1 of a weighted graph; nodes without outgoing weight give theirs to all."""
+    """Scores of the nodes 0 .. n-1 of a weighted graph; nodes without outgoing weight give theirs to all.
+
+    Scores are added up in the order of the edges, so that equal graphs have equal scores to the last bit.
+    """
     if not n:
         return np.zeros(0)
-    out = np.bincount(src, weight, n)
+    out = exact_sums(n, src, weight)
     share = weight / out[src] if len(src) else weight
     score = np.full(n, 1.0 / n)
+    to = np.concatenate([np.arange(n), dst])
     for _ in range(rounds):
-        new = (1 - damping) / n + damping * score[out == 0].sum() / n + damping * np.bincount(dst, score[src] * share, n)
+        base = (1 - damping) / n + damping * score[out == 0].sum() / n
+        new = np.bincount(to, np.concatenate([np.full(n, base), damping * score[src] * share]), n)
         done = np.abs(new - score).sum() < tolerance
         score = new
         if done:

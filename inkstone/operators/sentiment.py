@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..models.lexicon import DEFAULT, LABELLED, Lexicon
+from ..models.lexicon import DEFAULT, Lexicon
 from ..models.segment import Segmenter
 
 THRESHOLD = 0.15
@@ -119,7 +119,7 @@ def nb_tables(documents: list[tuple[list[str], str]], alpha: float = 1.0) -> tup
 def labelled_model(lexicon: Lexicon = DEFAULT) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
     """The small model of the labelled sentences."""
     cut = Segmenter(lexicon).cut
-    return nb_tables([(cut(line), name) for name, text in LABELLED.items() for line in text.splitlines()])
+    return nb_tables([(cut(text), label) for text, label in lexicon.labelled])
 
 
 def bayes_score(words: Column | str, model: tuple[dict, dict]) -> Column:
