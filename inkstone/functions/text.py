@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ _ASCII = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 FULL_WIDTH = "".join(chr(ord(c) + 0xFEE0) for c in _ASCII)
 
 
+def constant_map(values: dict, kind: str) -> Column:
+    """A map column of a dictionary, as one literal that the optimizer folds."""
+    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), kind)
+
+
 def strip(c: Column | str) -> Column:
     """Without surrounding white space of any kind."""
     return F.btrim(c, F.lit(WHITE_SPACE))
@@ -99,7 +106,7 @@ def english_sentence(text: Column | str) -> Column:
 def label(c: Column | str, names: dict[str, str]) -> Column:
     """The name of a code, or the code itself."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), c), c)
+    return F.coalesce(F.try_element_at(constant_map(names, "map<string,string>"), c), c)
 
 
 def annotated(text: Column | str, entities: Column | str) -> Column:

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 import numpy as np
 
 
+def _log_shares(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of counts over their sum; the library's own, as numpy's can differ in the last bit, which decides ties."""
+    values = counts.tolist()
+    total = math.fsum(values)
+    if total <= 0:
+        return np.full(len(values), -math.log(len(values)))
+    return np.array([math.log(v / total) if v > 0 else -math.inf for v in values])
+
+
 class Hmm:
     """Start and transition rows are distributions over states; emissions are normalised per observation, over the states.
 
@@ -21,7 +31,7 @@ class Hmm:
         self.start = np.zeros(k)
         self.trans = np.zeros((k, k))
         self.emit: dict = {}
-        self.unseen = np.full(k, np.log(add_k)) if add_k > 0 else np.full(k, -np.inf)
+        self.unseen = np.full(k, math.log(add_k)) if add_k > 0 else np.full(k, -np.inf)
 
     def fit(self, sequences: Iterable[Sequence[tuple]]) -> "Hmm":
         """Counts of (observation, state) sequences; pairs with an unknown state count nowhere."""
@@ -41,10 +51,9 @@ class Hmm:
 
     def set_counts(self, start: np.ndarray, trans: np.ndarray, emit: dict) -> "Hmm":
         """From smoothed counts, as of fit or of an aggregation over a table."""
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.start = np.log(start / start.sum())
-            self.trans = np.log(trans / trans.sum(1, keepdims=True))
-            self.emit = {o: np.log(c / c.sum()) for o, c in emit.items()}
+        self.start = _log_shares(start)
+        self.trans = np.array([_log_shares(row) for row in trans])
+        self.emit = {o: _log_shares(c) for o, c in emit.items()}
         return self
 
     def emission(self, obs) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import constant_map
 from ..models.lexicon import DEFAULT, Lexicon
 from ..models.segment import Segmenter
 
@@ -33,7 +34,7 @@ def lexicon_score(words: Column | str, lexicon: Lexicon = DEFAULT) -> Column:
     A positive word counts 1, a negative one -1, times the leftmost degree adverb among the two words before it, with the
     sign turned if one of these two is a negation. score = tanh(raw / sqrt(number of words)). Null arrays count as empty.
     """
-    degrees = F.create_map(*(F.lit(x) for kv in lexicon.degree.items() for x in kv))
+    degrees = constant_map(lexicon.degree, "map<string,double>")
     w = F.coalesce(F.col(words) if isinstance(words, str) else words, F.array().cast("array<string>"))
 
     def one(x: Column, i: Column) -> Column:
@@ -126,7 +127,7 @@ def bayes_score(words: Column | str, model: tuple[dict, dict]) -> Column:
     """struct<label, probabilities, confidence> of an array of words by a small model, whose tables are literals of the plan."""
     prior, logp = model
     labels = list(prior)
-    table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*(F.lit(x[k]) for k in labels)) for kv in logp.items() for x in kv))
+    table = constant_map({w: [p[k] for k in labels] for w, p in logp.items()}, "map<string,array<double>>")
     w = F.coalesce(F.col(words) if isinstance(words, str) else words, F.array().cast("array<string>"))
     start = F.array(*(F.lit(prior[k]) for k in labels))
     sums = F.aggregate(w, start, lambda s, x: F.coalesce(F.zip_with(s, F.try_element_at(table, x), lambda p, q: p + q), s))

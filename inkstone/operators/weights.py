@@ -26,9 +26,14 @@ def tfidf(docs: DataFrame, id: str, words: str) -> DataFrame:
     Terms with more than 1/10,000 of all postings, of which there can be no more than 10,000, are joined by broadcast, so that
     no shuffle key has a large share of the rows.
     """
-    counts = written(term_counts(docs, id, words), "term-counts")
+    # a null term in each document counts the documents in the same pass
+    marked = F.concat(F.coalesce(F.filter(words, lambda w: w.isNotNull()), F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    one = docs.select(F.col(id).alias("id"), F.coalesce(F.size(words), F.lit(0)).alias("length"), F.explode(marked).alias("term"))
+    all_counts = written(one.groupBy("id", "length", "term").agg(F.count("*").alias("count")), "term-counts")
+    totals = all_counts.agg(F.count("term").alias("postings"), F.sum(F.when(F.col("term").isNull(), F.col("count"))).alias("n")).first()
+    n, postings = totals.n or 0, totals.postings
+    counts = all_counts.filter("term is not null").withColumn("tf", F.col("count") / F.col("length"))
     df = written(document_frequency(counts), "document-frequency")
-    n, postings = docs.count(), counts.count()
     often = F.col("df") >= max(1.0, postings / 10_000)
     hot = F.broadcast(df.filter(often))
     rare = counts.join(hot.select("term"), "term", "left_anti").join(df.filter(~often), "term")
@@ -98,18 +103,21 @@ def scaled_by_max(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def grams(texts: DataFrame, text: str, max_len: int) -> DataFrame:
     """(gram, n, left, right): every run of 1 .. max_len characters of the texts without punctuation, and its neighbours."""
-    bare = texts.select(F.regexp_replace(F.col(text), GRAM_BREAKS, "").alias("t")).filter("t <> ''").select("t", F.length("t").alias("len"))
-    place = bare.select("t", "len", F.explode(F.sequence(F.lit(1), F.col("len"))).alias("i"))
-    sized = place.select("t", "len", "i", F.explode(F.array(*map(F.lit, range(1, max_len + 1)))).alias("n")).filter("i + n - 1 <= len")
-    char = lambda at: F.when((at >= 1) & (at <= F.col("len")), F.substr("t", at, F.lit(1)))
-    return sized.select(F.substr("t", F.col("i"), F.col("n")).alias("gram"), "n", char(F.col("i") - 1).alias("left"), char(F.col("i") + F.col("n")).alias("right"))
-
-
-def _entropy(sides: DataFrame, side: str) -> DataFrame:
-    """(gram, h): entropy in bits of the characters on one side; grams without any are missing."""
-    counted = sides.filter(F.col(side).isNotNull()).groupBy("gram", side).agg(F.sum("c").alias("c"))
+    # texts are taken apart into characters once: a run is then a slice, wherever it stands
+    bare = texts.select(F.split(F.regexp_replace(F.col(text), GRAM_BREAKS, ""), "").alias("c")).filter("c[0] <> ''")
+    size = F.size("c")
+    run_of = lambda n: lambda i: F.struct(F.array_join(F.slice("c", i + 1, n), "").alias("gram"), F.lit(n).alias("n"), F.when(i > 0, F.get("c", i - 1)).alias("left"), F.get("c", i + n).alias("right"))
+    runs = [F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), run_of(n))) for n in range(1, max_len + 1)]
+    return bare.select(F.explode(F.concat(*(F.coalesce(r, F.slice(runs[0], 1, 0)) for r in runs))).alias("g")).select("g.*")
+
+
+def _entropy(sides: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(gram, h_*): entropy in bits of the characters on each side, null without any; all sides in one pass."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("ch")) for c in columns)))
+    counted = sides.select("gram", "c", each.alias("s")).filter("s.ch is not null").groupBy("gram", "s").agg(F.sum("c").alias("c"))
     # sum of c*log2(c) and of c give the entropy in one pass: log2(n) - sum(c*log2(c))/n
-    return counted.groupBy("gram").agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias(f"h_{side}"))
+    of = lambda side: F.when(F.col("s.side") == side, F.col("c"))
+    return counted.groupBy("gram").agg(*((F.log2(F.sum(of(c))) - F.sum(of(c) * F.log2(of(c))) / F.sum(of(c))).alias(f"h_{c}") for c in columns))
 
 
 def new_words(texts: DataFrame, text: str, min_freq: int = 5, max_len: int = 4, min_mi: float = 6.0, top: int | None = 200, chinese_only: bool = True) -> DataFrame:
@@ -119,7 +127,7 @@ def new_words(texts: DataFrame, text: str, min_freq: int = 5, max_len: int = 4,
     right neighbours), rounded to 4 places. One pass over the texts: each run comes with its neighbours, so none is searched
     for again. The characters' counts, of which there are no more than code points, are broadcast.
     """
-    counted = grams(texts, text, max_len).groupBy("gram", "n", "left", "right").agg(F.count("*").alias("c"))
+    counted = written(grams(texts, text, max_len).groupBy("gram", "n", "left", "right").agg(F.count("*").alias("c")), "gram-counts")
     freq = counted.groupBy("gram", "n").agg(F.sum("c").alias("freq"))
     chars = freq.filter("n = 1").select(F.col("gram").alias("ch"), F.col("freq").alias("cf"))
     total = F.broadcast(chars.agg(F.sum("cf").alias("total")))
@@ -128,8 +136,9 @@ def new_words(texts: DataFrame, text: str, min_freq: int = 5, max_len: int = 4,
         words = words.filter(has_han("gram"))
     split = words.select("gram", "n", "freq", F.explode(F.split("gram", "")).alias("ch")).filter("ch <> ''").join(F.broadcast(chars), "ch").crossJoin(total)
     mi = split.groupBy("gram", "n", "freq", "total").agg(F.sum(F.log2(F.col("cf") / F.col("total"))).alias("apart")).select("gram", "freq", (F.log2(F.col("freq") / F.col("total")) - F.col("apart")).alias("mi")).filter(F.round("mi", 9) >= min_mi)
+    mi = written(mi, "gram-words")
     sides = counted.join(mi.select("gram"), "gram", "left_semi")
-    scored = mi.join(_entropy(sides, "left"), "gram", "left").join(_entropy(sides, "right"), "gram", "left")
+    scored = mi.join(_entropy(sides, ("left", "right")), "gram", "left")
     score = F.round(F.col("mi") + F.least(F.coalesce("h_left", F.lit(0.0)), F.coalesce("h_right", F.lit(0.0))), 4)
     out = scored.select(F.col("gram").alias("word"), "freq", F.round("mi", 4).alias("mi"), score.alias("score"))
     return out if top is None else out.orderBy(F.desc("score"), "word").limit(top)

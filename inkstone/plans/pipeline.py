@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import single_spaced, tokens
 from ..models import kernels as K
 from ..models.lexicon import DEFAULT, Lexicon
 from ..operators.dependency import heads_of
@@ -337,8 +336,8 @@ def run_counts(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("doc_count"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"))
 
 
-def cleaned(text: Column | str, stop: list[str]) -> Column:
-    """struct<cleaned, tokens, original_tokens, removed> of a text without Chinese runs to segment: an expression, no Python."""
-    words = tokens(single_spaced(text))
+def cleaned(words: Column | str, stop: list[str]) -> Column:
+    """struct<cleaned, tokens, original_tokens, removed> of the words of a text."""
+    words = F.col(words) if isinstance(words, str) else words
     kept = F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
     return F.struct(F.array_join(kept, " ").alias("cleaned"), kept.alias("tokens"), words.alias("original_tokens"), (F.size(words) - F.size(kept)).alias("removed"))

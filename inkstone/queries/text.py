@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH_TOKEN, GRAM_BREAKS, SPACE_CLASS, TOKEN_PATTERN, has_han, sentences, single_spaced, tokens, without_stop_words
 from ..models.entities import PATTERNS
+from ..models import kernels as K
 from ..models.lexicon import DEFAULT
 from ..operators import weights
 from ..operators.dependency import dependency_heads
@@ -14,7 +15,8 @@ from ..operators.markov import hmm_counts
 from ..operators.sentiment import NaiveBayes, bayes_score, labelled_model, lexicon_score, sentiment_by_windows
 from ..operators.translate import to_chinese
 from ..plans.pipeline import cleaned
-from ..session import spread, spread_again, table
+from ..session import spread, spread_again, table, written
+from . import model_sql as M
 
 STOP = sorted(DEFAULT.stop_words)
 
@@ -45,7 +47,8 @@ def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_removed(spark: SparkSession, d: str) -> DataFrame:
-    c = _docs(spark, d).filter("text is not null").select("doc_id", cleaned("text", STOP).alias("c"))
+    """Every document cut into words, without its stop words."""
+    c = _docs(spark, d).filter("text is not null").select("doc_id", cleaned(K.segment(single_spaced("text")), STOP).alias("c"))
     return c.select("doc_id", "c.cleaned", F.size("c.tokens").alias("kept"), F.size("c.original_tokens").alias("original"), "c.removed")
 
 
@@ -54,7 +57,8 @@ def filtered_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _content(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", without_stop_words(tokens("text"), STOP).alias("words"))
+    """(doc_id, words): the content words of every document; null texts have none."""
+    return _docs(spark, d).select("doc_id", without_stop_words(F.coalesce(K.segment("text"), F.array().cast("array<string>")), STOP).alias("words"))
 
 
 def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +88,8 @@ def keyword_scaled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def new_words(spark: SparkSession, d: str) -> DataFrame:
-    once = table(spark, d, "corpus").filter("text is not null").groupBy("id").agg(F.min("text").alias("text"))
+    rows = table(spark, d, "corpus").select("id", "text").filter("text is not null")
+    once = spread_again(rows.groupBy("id").agg(F.min("text").alias("text")), rows, "id")
     return weights.new_words(once, "text", 5, 4, 6.0, None)
 
 
@@ -104,9 +109,10 @@ def sentiment_bayes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, words, label) of documents with exactly one subject."""
+    """(doc_id, words, label) of documents with exactly one subject, which are cut once."""
     one = table(spark, d, "subject_labels").groupBy("doc_id").agg(F.count_distinct("subject").alias("n"), F.max("subject").alias("label")).filter("n = 1").drop("n")
-    return _content(spark, d).join(one, "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text").join(one, "doc_id")
+    return written(spread(docs, "doc_id").select("doc_id", "label", without_stop_words(F.coalesce(K.segment("text"), F.array().cast("array<string>")), STOP).alias("words")), "labelled-words")
 
 
 def nb_posterior(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +168,7 @@ def _strip(c: str) -> str:
 
 
 _STOP = _list(STOP)
+_DOCS = "SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL"
 _HAN_IN = "regexp_matches({0}, '[\\x{{4e00}}-\\x{{9fff}}]')"
 
 
@@ -200,10 +207,12 @@ _SENT_OUT = "round(raw, 4) AS raw_score, round(s, 4) AS score, CASE WHEN s >= 0.
 
 
 def _nb_sql() -> str:
-    prior, logp = labelled_model()
-    labels = list(prior)
-    rows = _values((w, k, p[k]) for w, p in sorted(logp.items()) for k in labels)
-    return f"""WITH {_WORDS}, model AS (SELECT * FROM (VALUES {rows}) t(word, label, logp)), prior AS (SELECT * FROM (VALUES {_values(prior.items())}) t(label, prior)),
+    labels = sorted({k for _, k in DEFAULT.labelled})
+    return f"""WITH RECURSIVE {_WORDS}, labelled(id, text, label) AS (VALUES {", ".join(f"({i}, {M.text(t)}, {M.text(k)})" for i, (t, k) in enumerate(DEFAULT.labelled))}),
+        {M.segmented("SELECT id, text FROM labelled")},
+        prior AS (SELECT label, ln(count(*) / (SELECT count(*) FROM labelled)) AS prior FROM labelled GROUP BY label),
+        cnt AS (SELECT label, word, count(*) AS c FROM words JOIN labelled USING (id) GROUP BY label, word), tot AS (SELECT label, sum(c) AS t FROM cnt GROUP BY label), v AS (SELECT DISTINCT word FROM words),
+        model AS (SELECT label, word, ln((coalesce(c, 0) + 1.0) / (t + (SELECT count(*) FROM v))::DOUBLE) AS logp FROM v CROSS JOIN tot LEFT JOIN cnt USING (label, word)),
         sums AS (SELECT id, label, sum(logp) AS s FROM w JOIN model USING (word) GROUP BY id, label),
         score AS (SELECT once.id, label, prior + coalesce(s, 0.0) AS s FROM once CROSS JOIN prior LEFT JOIN sums USING (id, label)),
         e AS (SELECT id, label, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM score),
@@ -223,12 +232,13 @@ ORACLES = {
         WITH t AS (SELECT doc_id, coalesce({_TOKENS}, []) AS t FROM documents)
         SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct, len(list_filter(t, lambda x: {_HAN_IN.format('x')}))::INT AS n_han FROM t""",
     "clean_removed": f"""
-        WITH t AS (SELECT doc_id, regexp_extract_all({_strip(f"regexp_replace(text, '{_SPACES}', ' ', 'g')")}, '{TOKEN_PATTERN}') AS t FROM documents WHERE text IS NOT NULL),
+        WITH RECURSIVE {M.segmented(_DOCS)},
+        t AS (SELECT d.doc_id, coalesce(list(word ORDER BY n, i) FILTER (word IS NOT NULL), []) AS t FROM documents d LEFT JOIN words w ON w.id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id),
         k AS (SELECT doc_id, t, list_filter(t, lambda w: NOT list_contains({_STOP}, w)) AS kept FROM t)
         SELECT doc_id, coalesce(array_to_string(kept, ' '), '') AS cleaned, len(kept)::INT AS kept, len(t)::INT AS original, (len(t) - len(kept))::INT AS removed FROM k""",
     "filtered_words": f"WITH {_WORDS} SELECT id, coalesce(array_to_string({_content_sql('words')}, ' '), '') AS content FROM once",
     "tfidf_top_terms": f"""
-        WITH docs AS (SELECT doc_id, {_content_sql(f'coalesce({_TOKENS}, [])')} AS words FROM documents),
+        WITH RECURSIVE {M.segmented(_DOCS)}, docs AS (SELECT doc_id, {_content_sql('coalesce(list(word) FILTER (word IS NOT NULL), [])')} AS words FROM documents LEFT JOIN words ON id = doc_id GROUP BY doc_id),
         c AS (SELECT doc_id, term, count(*) AS count, any_value(length) AS length FROM (SELECT doc_id, len(words) AS length, unnest(words) AS term FROM docs) GROUP BY doc_id, term),
         f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
         s AS (SELECT doc_id, term, count, df, (count / length) * (ln(((SELECT count(*) FROM docs) + 1) / (df + 1)) + 1) AS weight FROM c JOIN f USING (term)),
@@ -258,8 +268,9 @@ ORACLES = {
     "sentiment_windows": f"WITH {_WORDS}, {_SENT} SELECT id, {_SENT_OUT} FROM scored",
     "sentiment_bayes": _nb_sql(),
     "nb_posterior": f"""
-        WITH one AS (SELECT doc_id, max(subject) AS label FROM subject_labels GROUP BY doc_id HAVING count(DISTINCT subject) = 1),
-        docs AS (SELECT doc_id, label, {_content_sql(f'coalesce({_TOKENS}, [])')} AS words FROM documents JOIN one USING (doc_id)),
+        WITH RECURSIVE one AS (SELECT doc_id, max(subject) AS label FROM subject_labels GROUP BY doc_id HAVING count(DISTINCT subject) = 1),
+        {M.segmented(_DOCS)},
+        docs AS (SELECT doc_id, label, {_content_sql('coalesce(list(word) FILTER (word IS NOT NULL), [])')} AS words FROM documents JOIN one USING (doc_id) LEFT JOIN words ON id = doc_id GROUP BY doc_id, label),
         prior AS (SELECT label, ln(count(*) / (SELECT count(*) FROM docs)) AS prior FROM docs GROUP BY label),
         tok AS (SELECT doc_id, label, unnest(words) AS word FROM docs),
         cnt AS (SELECT label, word, count(*) AS c FROM tok GROUP BY label, word), tot AS (SELECT label, sum(c) AS t FROM cnt GROUP BY label),
