@@ -74,10 +74,10 @@ class Kernels:
         stop = self.lexicon.stop_words
         return [w for w in words if w not in stop and (len(w) > 1 or _HAN.search(w)) and w.strip()]
 
-    def keywords(self, words: list[str], tags: list[str], top_k: int = 10, method: str = "hybrid") -> dict:
+    def keywords(self, words: list[str], tags: list[str], top_k: int | None = 10, method: str = "hybrid") -> dict:
         """Term frequency and centrality in the co-occurrence graph, each over its greatest, averaged for hybrid.
 
-        An unknown method is hybrid. Equal scores keep the order of first occurrence. Without candidates: no keywords, no method.
+        An unknown method is hybrid; top_k None gives all. Equal scores keep the order of first occurrence. Without candidates: no keywords, no method.
         """
         allowed, stop = set(self.lexicon.key_tags), set(self.lexicon.key_stop)
         chosen = self.content_words([w for w, t in zip(words, tags) if t in allowed and w is not None and w not in stop])
@@ -206,7 +206,7 @@ def to_english(text, lexicon: Lexicon = DEFAULT, safe: bool = False) -> Column:
     return column_function(lambda k, t, *_: k.translator.to_english(t), T.StringType(), lexicon, safe)(text)
 
 
-def keywords(words, tags, top_k: int = 10, method: str = "hybrid", lexicon: Lexicon = DEFAULT, safe: bool = False) -> Column:
+def keywords(words, tags, top_k: int | None = 10, method: str = "hybrid", lexicon: Lexicon = DEFAULT, safe: bool = False) -> Column:
     return column_function(lambda k, w, t: k.keywords(w, t, top_k, method), KEYWORDS, lexicon, safe)(words, tags)
 
 

@@ -55,30 +55,42 @@ def pagerank_of(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, da
     return score
 
 
-def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, cut_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, cut_every: int = 10) -> DataFrame:
     """(node, score) of one graph of (src, dst, weight) edges, of any size.
 
-    Edges are written once with their share of the source's weight; a round is a join and a sum by target, both of which
-    combine before the shuffle. Scores are written every few rounds, which cuts the lineage, and then compared with the
-    tolerance.
+    Edges are written once with their share of the source's weight; a round is a join and a sum by target, which combines
+    before the shuffle and whose partitioning the next round's join uses. Several rounds are one plan, in which every round's
+    scores are read once; they are written every `cut_every` rounds, which cuts the lineage, and then compared with those of the
+    round before. Graphs with nodes without outgoing weight are written after every round, as the whole of these nodes' scores
+    goes to all, but compared as seldom.
     """
     spark = edges.sparkSession
-    sums = edges.groupBy("src").agg(F.sum("weight").alias("s"))
-    shares = written(edges.join(sums.filter("s > 0"), "src").select("src", "dst", (F.col("weight") / F.col("s")).alias("share")), "rank-edges")
-    nodes = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(sums.select(F.col("src").alias("node"), (F.col("s") > 0).alias("gives")), "node", "left").select("node", F.coalesce("gives", F.lit(False)).alias("gives")), "rank-nodes")
-    n = nodes.count()
+    sums = edges.groupBy("src").agg(F.sum("weight").alias("s")).filter("s > 0")
+    shares = written(edges.join(sums, "src").select("src", "dst", (F.col("weight") / F.col("s")).alias("share")), "rank-edges")
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    nodes = written(ends.join(sums.select(F.col("src").alias("node"), F.lit(True).alias("gives")), "node", "left").select("node", F.coalesce("gives", F.lit(False)).alias("gives")), "rank-nodes")
+    size = nodes.agg(F.count("*").alias("n"), F.count_if(~F.col("gives")).alias("sinks")).first()
+    n = size.n
     if not n:
         return spark.createDataFrame([], edges.select(F.col("src").alias("node"), F.lit(0.0).alias("score")).schema)
-    score = nodes.withColumn("score", F.lit(1.0 / n))
-    for i in range(rounds):
-        lost = F.broadcast(score.agg(F.coalesce(F.sum(F.when(~F.col("gives"), F.col("score"))), F.lit(0.0)).alias("lost")))
+
+    def after(score: DataFrame, lost: float) -> DataFrame:
         got = shares.join(score.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        new = score.withColumnRenamed("score", "old").join(got, "node", "left").crossJoin(lost)
-        new = new.select("node", "gives", ((1 - damping) / n + damping * (F.col("lost") / n + F.coalesce("got", F.lit(0.0)))).alias("score"), "old")
-        if (i + 1) % cut_every == 0 or i + 1 == rounds:
-            new = written(new, "rank-scores")
-            if new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < tolerance:
-                score = new
-                break
-        score = new.drop("old")
+        base = (1 - damping) / n + damping * lost / n
+        return nodes.join(got, "node", "left").select("node", "gives", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+
+    score, done = nodes.withColumn("score", F.lit(1.0 / n)), 0
+    while done < rounds:
+        step = min(cut_every, rounds - done)
+        for i in range(step):
+            before = score
+            lost = before.filter(~F.col("gives")).agg(F.sum("score")).first()[0] if size.sinks else 0.0
+            score = after(before, lost)
+            # the last two rounds' scores are written, to be compared
+            if size.sinks or i + 2 >= step:
+                score = written(score, "rank-scores")
+        done += step
+        moved = score.join(before.select("node", F.col("score").alias("old")), "node").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        if moved < tolerance:
+            break
     return score.select("node", "score")

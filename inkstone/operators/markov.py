@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..models.hmm import Hmm
+from ..models.kernels import column_function
 
 
 def hmm_counts(sequences: DataFrame, observations: str, states: str) -> DataFrame:
@@ -23,12 +25,19 @@ def hmm_counts(sequences: DataFrame, observations: str, states: str) -> DataFram
     return rows.groupBy("kind", "a", "b").agg(F.count("*").alias("count"))
 
 
-def hmm_from_counts(counts: DataFrame, states: list[str], add_k: float = 0.01) -> Hmm:
-    """The model of counts; its emissions are as many as there are different observations, which the driver has to hold."""
+def hmm_from_counts(counts: DataFrame, states: list[str], add_k: float = 0.01, observations: int | None = None) -> Hmm:
+    """The model of counts, whose emissions the driver holds: those of at most `observations` different ones, the most frequent.
+
+    None takes all, for closed sets of observations such as tags or characters. Others are then unseen, as what never occurred.
+    """
     model = Hmm(states, add_k)
     k = len(states)
     start, trans, emit = np.full(k, add_k), np.full((k, k), add_k), {}
-    for r in counts.toLocalIterator():
+    emitted = counts.filter("kind = 'emit'")
+    if observations is not None:
+        often = emitted.groupBy("a").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "a").limit(observations)
+        emitted = emitted.join(F.broadcast(often.select("a")), "a").select("kind", "a", "b", "count")
+    for r in counts.filter("kind <> 'emit'").unionByName(emitted).orderBy("kind", "a", "b").collect():
         if r.kind == "start" and r.a in model.at:
             start[model.at[r.a]] += r["count"]
         elif r.kind == "trans" and r.a in model.at and r.b in model.at:
@@ -36,3 +45,10 @@ def hmm_from_counts(counts: DataFrame, states: list[str], add_k: float = 0.01) -
         elif r.kind == "emit" and r.b in model.at:
             emit.setdefault(r.a, np.full(k, add_k))[model.at[r.b]] += r["count"]
     return model.set_counts(start, trans, emit)
+
+
+def decoded(sequences: DataFrame, observations: str, model: Hmm) -> DataFrame:
+    """The rows with `states`: the likeliest states of their array of observations; null arrays have none."""
+    shared = sequences.sparkSession.sparkContext.broadcast(model)
+    find = column_function(lambda k, o, *_: shared.value.viterbi(o), T.ArrayType(T.StringType()))
+    return sequences.withColumn("states", find(observations))

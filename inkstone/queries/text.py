@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,18 +208,23 @@ _SENT = f"""
 _SENT_OUT = "round(raw, 4) AS raw_score, round(s, 4) AS score, CASE WHEN s >= 0.15 THEN 'positive' WHEN s <= -0.15 THEN 'negative' ELSE 'neutral' END AS polarity"
 
 
-def _nb_sql() -> str:
-    labels = sorted({k for _, k in DEFAULT.labelled})
-    return f"""WITH RECURSIVE {_WORDS}, labelled(id, text, label) AS (VALUES {", ".join(f"({i}, {M.text(t)}, {M.text(k)})" for i, (t, k) in enumerate(DEFAULT.labelled))}),
-        {M.segmented("SELECT id, text FROM labelled")},
-        prior AS (SELECT label, ln(count(*) / (SELECT count(*) FROM labelled)) AS prior FROM labelled GROUP BY label),
-        cnt AS (SELECT label, word, count(*) AS c FROM words JOIN labelled USING (id) GROUP BY label, word), tot AS (SELECT label, sum(c) AS t FROM cnt GROUP BY label), v AS (SELECT DISTINCT word FROM words),
-        model AS (SELECT label, word, ln((coalesce(c, 0) + 1.0) / (t + (SELECT count(*) FROM v))::DOUBLE) AS logp FROM v CROSS JOIN tot LEFT JOIN cnt USING (label, word)),
+def nb_posteriors() -> str:
+    """CTEs that end in p(id, label, p): posteriors of the model of the labelled sentences, of once(id) and w(id, word)."""
+    return f"""
+        model AS MATERIALIZED (SELECT * FROM (
+            WITH RECURSIVE labelled(id, text, label) AS (VALUES {", ".join(f"({i}, {M.text(t)}, {M.text(k)})" for i, (t, k) in enumerate(DEFAULT.labelled))}), {M.segmented("SELECT id, text FROM labelled")},
+            cnt AS (SELECT label, word, count(*) AS c FROM words JOIN labelled USING (id) GROUP BY label, word), tot AS (SELECT label, sum(c) AS t FROM cnt GROUP BY label), v AS (SELECT DISTINCT word FROM words)
+            SELECT label, word, ln((coalesce(c, 0) + 1.0) / (t + (SELECT count(*) FROM v))::DOUBLE) AS logp FROM v CROSS JOIN tot LEFT JOIN cnt USING (label, word))),
+        prior(label, prior) AS (VALUES {", ".join(f"({M.text(k)}, ln({n} / {len(DEFAULT.labelled)}.0::DOUBLE))" for k, n in sorted(Counter(k for _, k in DEFAULT.labelled).items()))}),
         sums AS (SELECT id, label, sum(logp) AS s FROM w JOIN model USING (word) GROUP BY id, label),
         score AS (SELECT once.id, label, prior + coalesce(s, 0.0) AS s FROM once CROSS JOIN prior LEFT JOIN sums USING (id, label)),
         e AS (SELECT id, label, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM score),
-        p AS (SELECT id, label, e / sum(e) OVER (PARTITION BY id) AS p FROM e)
-        SELECT id, arg_max(label, p) AS label, round(max(p), 4) AS confidence, {', '.join(f"round(max(p) FILTER (label = '{k}'), 4) AS {k}" for k in ('negative', 'neutral', 'positive'))} FROM p GROUP BY id"""
+        p AS (SELECT id, label, e / sum(e) OVER (PARTITION BY id) AS p FROM e)"""
+
+
+def _nb_sql() -> str:
+    labels = sorted({k for _, k in DEFAULT.labelled})
+    return f"WITH {_WORDS}, {nb_posteriors()} SELECT id, arg_max(label, p) AS label, round(max(p), 4) AS confidence, {', '.join(f"round(max(p) FILTER (label = '{k}'), 4) AS {k}" for k in labels)} FROM p GROUP BY id"
 
 
 _GRAM_BREAKS = GRAM_BREAKS.replace("'", "''")
