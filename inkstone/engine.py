@@ -6,7 +6,6 @@ import json
 import time
 import uuid
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from .operators.dependency import heads_of
 from .operators.sentiment import bayes_score, labelled_model, lexicon_score
 from .operators.translate import to_chinese
 from .plans.pipeline import PipelineEngine, run_counts
-from .sources.store import Registry, Store, predicate
+from .sources.store import Registry, Store
 from .sources.uploads import decode
 
 #: Tasks that hold no results.
@@ -194,7 +193,7 @@ class Engine:
         if not saved:
             raise ValueError(f"no such pipeline: {pipeline}")
         run, started = uuid.uuid4().hex[:12], time.time()
-        path = str(Path(self.root) / "runs" / run)
+        path = f"{self.root}/runs/{run}"
         self.pipelines.build(saved["config"]).run_batch(self.texts(ids)).write.parquet(path)
         counts = run_counts(self.spark.read.parquet(path)).first()
         record = {"run_id": run, "pipeline_id": pipeline, "batch": True, "doc_count": counts.doc_count, "succeeded": counts.succeeded, "failed": counts.failed, "started": started, "finished": time.time(), "results": path}
@@ -215,15 +214,7 @@ class Engine:
     def results(self, task: str, entity_type: str | None = None, corpus_id: str | None = None, order_by: str | None = None, order: str = "desc", offset: int = 0, limit: int | None = None) -> DataFrame:
         """A page of a task's results, by corpus document, and for ner by the type of some entity in them."""
         where = [("corpus_id", "eq", corpus_id)] if corpus_id else []
-        store = self.stores.store(task)
-        if entity_type is None:
-            return store.query(where, order_by, order, offset, limit)
-        rows = store.all()
-        for f, op, v in where:
-            rows = rows.filter(predicate(rows, f"body.{f}", op, v))
-        types = F.from_json(F.get_json_object("body", "$.result.entities[*].type"), "array<string>")
-        one = F.get_json_object("body", "$.result.entities[*].type") == F.lit(f'"{entity_type}"')
-        rows = rows.filter(F.coalesce(F.array_contains(types, entity_type), F.lit(False)) | F.coalesce(one, F.lit(False)))
-        rows = rows.orderBy("seq").offset(offset)
-        return rows if limit is None else rows.limit(limit)
+        some = F.from_json(F.get_json_object("body", "$.result.entities"), "array<struct<type: string>>")
+        of_type = lambda df: df if entity_type is None else df.filter(F.coalesce(F.exists(some, lambda e: e.type == entity_type), F.lit(False)))
+        return self.stores.store(task).query(where, order_by, order, offset, limit, keep=of_type)
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..session import scratch_path, table
 from ..sources import store
 from ..sources.uploads import decode_files
+from . import model_sql as M
+from .text import _strip
 
 TASKS = ("corpus", "segment", "keywords", "ner", "parse", "translation", "pipeline_run")
 
@@ -85,23 +91,96 @@ def run_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upload_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as uploaded bytes, decoded again."""
-    docs = table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return decode_files(docs.withColumn("path", F.col("path").cast("string"))).select(F.col("path").cast("long").alias("doc_id"), "length", "encoding")
+    """Documents as uploaded bytes, in turn of UTF-8, GB18030 and UTF-16, decoded again."""
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            data = [t.encode(("utf-8", "gb18030", "utf-16")[i % 3]) for i, t in zip(ids, b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(map(str, ids)), pa.array(data, pa.binary())], ["path", "content"])
+
+    found = decode_files(docs.mapInArrow(encode, "path string, content binary"))
+    return found.select(F.col("path").cast("long").alias("doc_id"), "length", F.md5("text").alias("digest"), F.when(F.col("path").cast("long") % 3 == 2, F.col("encoding")).alias("encoding"))
+
+
+def _translations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "translation").filter("id is not null").groupBy("id").agg(F.max("text").alias("text"), F.max("corpus_id").alias("corpus_id"))
+
+
+def store_natural_order(spark: SparkSession, d: str) -> DataFrame:
+    """Events as records of a store, by a number within a nested field: 9 before 10, a page of those of one type."""
+    s = store.Store(spark, scratch_path(spark, "store"), "events")
+    s.insert_frame(_events(spark, d).orderBy("event_id").select("event_id", "event_type", "value", F.struct(F.from_json("props", "k double").k.alias("k")).alias("props")))
+    page = s.query([("event_type", "eq", "view")], "props.k", "desc", 20, 400)
+    return page.select(F.get_json_object("body", "$.event_id").cast("long").alias("event_id"), F.get_json_object("body", "$.props.k").cast("double").alias("k"))
+
+
+def store_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Translation records put into a store, two deleted, exported to shards of 100 and read back with their places."""
+    path = scratch_path(spark, "store")
+    s = store.Store(spark, f"{path}/tasks", "translation", 100)
+    s.insert_frame(_translations(spark, d).orderBy("id"))
+    for id in ("translate_3", "translate_4"):
+        s.delete(id)
+    s.merge(f"{path}/shards")
+    return store.read_json_shards(spark, f"{path}/shards", "id string, text string").select("shard", F.col("seq").cast("int").alias("place"), "id", F.length("text").alias("length"))
+
+
+def store_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Two tasks of a registry: what it says of them, and of their compaction, with a deleted and a fetched record each."""
+    r = store.Registry(spark, scratch_path(spark, "registry"), 50)
+    for name in ("keywords", "ner"):
+        rows = table(spark, d, name).filter("id is not null").groupBy("id").agg(F.max("text").alias("text"))
+        r.store(name).insert_frame(rows)
+        added = r.store(name).insert({"text": name})
+        r.store(name).delete(rows.agg(F.min("id")).first()[0])
+        assert r.store(name).get(added)["text"] == name
+    stats = [r.store(t).stats() for t in r.tasks()]
+    packed = {c["task"]: c for c in r.compact_all()}
+    return spark.createDataFrame([(x["task"], x["shard_size"], x["total"], x["shard_count"], packed[x["task"]]["after_shards"], packed[x["task"]]["records"]) for x in stats], "task string, shard_size int, total int, shards int, after_shards int, records int")
+
+
+def engine_results(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects' descriptions (a fixed table of a few rows) cut, tagged and looked through for entities by the engine, and its results read back."""
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    for r in table(spark, d, "subjects").orderBy("subject").collect():
+        if r.description:
+            for task in ("segment", "pos", "ner"):
+                engine.analyse(task, text=r.description, corpus_id=r.subject)
+    out = engine.results("segment", order_by="text").select(F.lit("segment").alias("task"), F.get_json_object("body", "$.corpus_id").alias("corpus_id"), F.get_json_object("body", "$.result.count").cast("int").alias("n"))
+    tags = F.from_json(F.get_json_object("body", "$.result.pos"), "array<array<string>>")
+    return out.unionByName(engine.results("pos").select(F.lit("pos").alias("task"), F.get_json_object("body", "$.corpus_id").alias("corpus_id"), F.size(tags).alias("n")))
+
+
+def engine_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus put into an engine: its listing."""
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    rows = table(spark, d, "corpus").filter("text is not null and id is not null").groupBy("id").agg(F.max_by(F.struct("name", "text", "created_at"), F.struct("text", "created_at")).alias("r")).select("id", "r.*")
+    engine.corpus.insert_frame(rows)
+    return engine.documents()
+
+
+def engine_entity_results(spark: SparkSession, d: str) -> DataFrame:
+    """Stored ner results in an engine: a page of those with some person, in order of their time."""
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    rows = table(spark, d, "ner").filter("id is not null and created_at is not null").groupBy("id").agg(F.max_by(F.struct("text", "result", "created_at"), F.struct("created_at", "_created")).alias("r"))
+    engine.stores.store("ner").insert_frame(rows.orderBy("id").select("id", "r.*"))
+    found = engine.results("ner", entity_type="PERSON", order_by="created_at", order="desc", offset=5, limit=150)
+    return found.select("id", F.get_json_object("body", "$.created_at").cast("double").alias("created_at"))
 
 
 def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Translation records put into a store, two of them deleted, compacted, and read back in order."""
-    root = scratch_path(spark, "store").removeprefix("file://").removeprefix("file:")
-    s = store.Store(spark, root, "translation", 10_000)
-    s.insert_frame(table(spark, d, "translation").filter("id is not null").groupBy("id").agg(F.max("text").alias("text"), F.max("corpus_id").alias("corpus_id")))
+    s = store.Store(spark, scratch_path(spark, "store"), "translation", 10_000)
+    s.insert_frame(_translations(spark, d))
     for id in ("translate_1", "translate_2"):
         s.delete(id)
     s.compact()
     return s.query([("text", "ne", None)]).select("id", F.length(F.get_json_object("body", "$.text")).alias("length"))
 
 
-QUERIES = {f.__name__: f for f in (store_filter_sort_page, store_predicates, store_live_after_delete, store_stats, corpus_listing, resolved_texts, results_with_type, result_tasks, run_outcomes, upload_decode, store_roundtrip)}
+QUERIES = {f.__name__: f for f in (store_filter_sort_page, store_predicates, store_live_after_delete, store_stats, corpus_listing, resolved_texts, results_with_type, result_tasks, run_outcomes, upload_decode, store_roundtrip, store_natural_order, store_shards, store_tasks, engine_results, engine_documents, engine_entity_results)}
 
 ORACLES = {
     "store_filter_sort_page": """
@@ -132,6 +211,20 @@ ORACLES = {
         WITH o AS (SELECT DISTINCT ON (id) id, results, succeeded, failed FROM pipeline_run WHERE results IS NOT NULL),
         k AS (SELECT id, results, len(list_filter(results, lambda r: coalesce(r.ok, false)))::INT AS ok, succeeded, failed FROM o)
         SELECT id, len(results)::INT AS docs, ok, (len(results) - ok)::INT AS not_ok, succeeded AS stored_ok, failed AS stored_not_ok FROM k""",
-    "upload_decode": "SELECT doc_id, length(text)::INT AS length, 'utf-8' AS encoding FROM documents WHERE text IS NOT NULL",
+    "upload_decode": f"SELECT doc_id, length(text)::INT AS length, md5({_strip('text')}) AS digest, CASE WHEN doc_id % 3 = 2 THEN 'utf-16' END AS encoding FROM documents WHERE text IS NOT NULL",
+    "store_natural_order": """
+        SELECT event_id, TRY_CAST(props ->> '$.k' AS DOUBLE) AS k FROM events WHERE event_type = 'view' ORDER BY k DESC NULLS LAST, event_id LIMIT 400 OFFSET 20""",
+    "store_shards": """
+        WITH r AS (SELECT id, max(text) AS text FROM translation WHERE id IS NOT NULL AND id NOT IN ('translate_3', 'translate_4') GROUP BY id), n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n FROM r)
+        SELECT printf('shard_%06d.json', n // 100) AS shard, (n % 100)::INT AS place, id, length(text)::INT AS length FROM n""",
+    "store_tasks": " UNION ALL ".join(f"SELECT '{t}' AS task, 50 AS shard_size, n AS total, ceil(n / 50)::INT AS shards, ceil(n / 50)::INT AS after_shards, n AS records FROM (SELECT count(DISTINCT id)::INT AS n FROM {t})" for t in ("keywords", "ner")),
+    "engine_results": f"""
+        WITH RECURSIVE {M.segmented("SELECT subject AS id, description AS text FROM subjects WHERE description <> ''")}, c AS (SELECT source.id, count(word)::INT AS n FROM source LEFT JOIN words USING (id) GROUP BY source.id)
+        SELECT 'segment' AS task, id AS corpus_id, n FROM c UNION ALL SELECT 'pos', id, n FROM c""",
+    "engine_documents": """
+        SELECT id, coalesce(name, '未命名') AS name, length(text)::INT AS length, created_at, substring(text, 1, 80) AS preview FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY text DESC, created_at DESC NULLS LAST) AS r FROM corpus WHERE text IS NOT NULL AND id IS NOT NULL) WHERE r = 1""",
+    "engine_entity_results": """
+        WITH o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC, _created DESC NULLS LAST) AS r FROM ner WHERE id IS NOT NULL AND created_at IS NOT NULL)
+        SELECT id, created_at FROM o WHERE r = 1 AND len(list_filter(result.entities, lambda e: e.type = 'PERSON')) > 0 ORDER BY created_at DESC, id LIMIT 150 OFFSET 5""",
     "store_roundtrip": "SELECT id, length(max(text))::INT AS length FROM translation WHERE id IS NOT NULL AND id NOT IN ('translate_1', 'translate_2') GROUP BY id HAVING max(text) IS NOT NULL",
 }

@@ -1,3 +1,4 @@
+import json
 import threading
 
 import pytest
@@ -20,6 +21,30 @@ def test_insert_filter_page(spark, tmp_path):
         s.insert_many([1])
 
 
+def test_natural_order(spark, tmp_path):
+    s = S.Store(spark, str(tmp_path), "t", 10)
+    s.insert_many([{"v": v} for v in range(25)])
+    values = lambda **a: [json.loads(r.body).get("v") for r in s.query([], "v", **a).collect()]
+    assert values() == list(range(25)) and values(order="desc", offset=2, limit=3) == [22, 21, 20]
+    s.insert_many([{"v": "b"}, {"v": 2.5}, {"w": 1}, {"v": "a"}, {"v": None}, {"v": [1]}, {"v": 2.5}])
+    assert values()[:6] == [None, None, 0, 1, 2, 2.5] and values()[-3:] == ["a", "b", [1]] and values(order="desc")[-2:] == [None, None]
+    twice = [r.id for r in s.query([("v", "eq", 2.5)], "v", "desc").collect()]
+    assert twice == sorted(twice, key=lambda x: int(x[2:]))
+
+
+def test_locks_on_other_file_systems(spark, tmp_path):
+    files = S.Files(spark, str(tmp_path))
+    with S.created_lock(files, "l"):
+        with pytest.raises(S.LockTimeout), S.created_lock(files, "l", timeout=0.3):
+            pass
+        with S.created_lock(files, "l", abandoned=-1.0):
+            pass
+    assert not files.exists("l")
+    files.replace("m", b"1")
+    files.replace("m", b"2")
+    assert files.read("m") == b"2" and files.names() == ["m"]
+
+
 def test_delete_and_compact(spark, tmp_path):
     s = S.Store(spark, str(tmp_path), "t", 10)
     s.insert_many([{"v": v} for v in range(15)])
@@ -27,7 +52,9 @@ def test_delete_and_compact(spark, tmp_path):
     assert s.all().count() == 14 and s.all(True).count() == 16
     done = s.compact()
     assert done["records"] == 14 and done["after_shards"] == 2 and s.all(True).count() == 14
-    assert s.merge(str(tmp_path / "out"))["total"] == 14
+    assert s.merge(str(tmp_path / "out")) == {"task": "t", "total": 14, "shards": 2}
+    back = S.read_json_shards(spark, str(tmp_path / "out")).orderBy("shard", "seq").collect()
+    assert [r.v for r in back] == list(range(1, 15)) and {r.shard for r in back} == {"shard_000000.json", "shard_000001.json"}
     assert s.insert({"v": 99}) == "t_17"
     assert [r.seq for r in s.all().collect()] == sorted(r.seq for r in s.all().collect())
     for i in range(2, 16):
