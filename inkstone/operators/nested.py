@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 
 def state(value: Column, kind: T.DataType) -> Column:
     """The automaton's state of a value, as a string: '-' null, '.' scalar, '{..}' struct, '[..]' array, '<..>' map."""
@@ -64,13 +66,20 @@ def child_table(df: DataFrame, key: str, path: str) -> DataFrame:
 class StructuralTables:
     """The flat tables of one nested column; see structural_tables."""
 
-    source: DataFrame
+    raw: DataFrame
     key: str
     column: str
+    once_by: str | None = None
+
+    @property
+    def source(self) -> DataFrame:
+        """Key and column of every record, each once."""
+        rows = self.raw.select(*dict.fromkeys([*([self.once_by] if self.once_by else []), self.key, self.column]))
+        return rows.dropDuplicates([self.once_by]) if self.once_by else rows
 
     @property
     def kind(self) -> T.DataType:
-        return self.source.schema[self.column].dataType
+        return self.raw.schema[self.column].dataType
 
     @property
     def supertype(self) -> DataFrame:
@@ -111,9 +120,23 @@ class StructuralTables:
         which elements are told apart as records are.
         """
         full = self.column + (path if path.startswith("[]") or not path else f".{path}")
-        rows = child_table(self.source, self.key, full)
+        rows = child_table(self._pruned(full), self.key, full)
         return rows.withColumn("variant", state(F.col("elem"), dict(_arrays(self.kind, self.column))[full]))
 
+    def _pruned(self, full: str) -> DataFrame:
+        """The records with only the fields on the way to an array: what is not read of a column is neither scanned nor shuffled."""
+
+        def only(value: Column, kind: T.DataType, names: list[str]) -> Column:
+            if isinstance(kind, T.ArrayType):
+                return F.transform(value, lambda x: only(x, kind.elementType, names)) if names else value
+            if not names or not isinstance(kind, T.StructType):
+                return value
+            return F.when(value.isNotNull(), F.struct(only(value[names[0]], kind[names[0]].dataType, names[1:]).alias(names[0])))
+
+        names = [n for n in full.replace("[]", "").split(".")[1:] if n]
+        rows = self.raw.select(*dict.fromkeys([*([self.once_by] if self.once_by else []), self.key]), only(F.col(self.column), self.kind, names).alias(self.column))
+        return rows.dropDuplicates([self.once_by]) if self.once_by else rows
+
 
 def structural_tables(df: DataFrame, key: str, column: str, once_by: str | None = None) -> StructuralTables:
     """The flat tables of a nested column. once_by: rows with one value of this column count once (their contents agree).
@@ -121,8 +144,29 @@ def structural_tables(df: DataFrame, key: str, column: str, once_by: str | None
     Null values of the column are records of variant '-' and have no children; null keys are keys like others. Other columns
     are dropped first, so clashing names among them do no harm.
     """
-    kept = list(dict.fromkeys([*([once_by] if once_by else []), key, column]))
-    rows = df.select(*kept)
-    if once_by:
-        rows = rows.dropDuplicates([once_by])
-    return StructuralTables(rows, key, column)
+    return StructuralTables(df, key, column, once_by)
+
+
+def routed(rows: DataFrame, by: list[str], most: int = 10_000) -> dict[tuple, DataFrame]:
+    """Each row written to the table of its variant, all tables in one pass: (values of `by`) -> table.
+
+    by: columns that tell subtypes apart, such as kind and variant. Of these there can be no more than `most`, which is checked:
+    shapes are bounded by the schema, not by the data.
+    """
+    spark = rows.sparkSession
+    kinds = T.StructType([rows.schema[c] for c in by])
+    path = scratch_path(spark, "subtypes")
+    named = [f"_by_{c}" for c in by]
+    rows.withColumns({n: F.coalesce(F.col(c), F.lit("")) for n, c in zip(named, by)}).drop(*by).write.partitionBy(*named).parquet(path)
+    body = T.StructType([f for f in rows.schema.fields if f.name not in by] + [T.StructField(n, f.dataType) for n, f in zip(named, kinds.fields)])
+    whole = spark.read.schema(body).parquet(path)
+    found = whole.select(*named).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} subtypes")
+    tables = {}
+    for r in found:
+        same = whole
+        for n in named:
+            same = same.filter(F.col(n) == r[n])
+        tables[tuple(r[n] for n in named)] = same.select(*(F.col(n).alias(c) for n, c in zip(named, by)), *(f.name for f in rows.schema.fields if f.name not in by))
+    return tables

@@ -1,9 +1,13 @@
-"""Many tiny files as few well-sized ones.
+"""Many tiny files as few well-sized ones, joined as bytes.
 
-Records are taken over as bytes: a scanner finds where each element of a JSON array begins and ends, line breaks between
-its tokens (a JSON string holds none) become spaces, and lines are joined to complete zstandard frames, frames to files.
-Files carry attempt-unique names and count only if the manifest, written at the end of a successful task, names them, so a
-repeated task neither loses nor doubles records. Lengths and checksums are checked when the files are read.
+concatenate joins newline-delimited files, or complete zstandard frames, byte by byte. Files that are JSON arrays with several
+states of a record first need to be told which of their elements live: a scan gives each element's id and place, the newest
+state of every id is found among these alone, and the live elements' bytes are then cut out of the bodies as lines (line
+breaks between JSON tokens become spaces, a JSON string holds none) and packed to complete frames, one part per task. The
+parts are joined byte by byte to the final files.
+
+Parts and files carry attempt-unique names and count only if the table written at the end of a successful task names them, so
+a repeated task neither loses nor doubles records. Lengths and checksums are checked when the files are read.
 """
 
 from __future__ import annotations
@@ -18,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prefix import running_sum
-from ..session import filesystem, scratch_path, spread, written
+from ..session import filesystem, scratch_path, spread, spread_again, written
 
-#: Bytes of a file before compression, and of a frame within it.
-FILE_BYTES, FRAME_BYTES = 128 << 20, 1 << 20
+#: Bytes of a file, of a frame before compression, and of what is copied at once.
+FILE_BYTES, FRAME_BYTES, BLOCK_BYTES = 128 << 20, 1 << 20, 8 << 20
 
 _SPACE = " \t\n\r"
 
@@ -33,15 +37,16 @@ def _refuse(name: str):
 _decoder = json.JSONDecoder(parse_constant=_refuse)
 
 
-def array_elements(body: str | None) -> list[tuple[object, str]]:
-    """(value, text) of each element of a complete JSON array, apart from a byte order mark and white space; else []."""
+def array_elements(body: str | None) -> list[tuple[object, int, int]]:
+    """(value, start, end) of each element of a complete JSON array, apart from a byte order mark and white space; else []."""
     if not body:
         return []
-    body = body.strip("﻿" + _SPACE)
-    if not body.startswith("["):
+    inner = body.lstrip("\ufeff" + _SPACE)
+    at = len(body) - len(inner)
+    n = len(body.rstrip("\ufeff" + _SPACE))
+    if not inner.startswith("["):
         return []
-    found: list[tuple[object, str]] = []
-    at, n = 1, len(body)
+    found: list[tuple[object, int, int]] = []
 
     def skip(i: int) -> int:
         while i < n and body[i] in _SPACE:
@@ -49,12 +54,12 @@ def array_elements(body: str | None) -> list[tuple[object, str]]:
         return i
 
     try:
-        at = skip(at)
+        at = skip(at + 1)
         if body[at] == "]":
             return found if at == n - 1 else []
         while True:
             value, end = _decoder.raw_decode(body, at)
-            found.append((value, body[at:end]))
+            found.append((value, at, end))
             at = skip(end)
             if body[at] == "]":
                 return found if at == n - 1 else []
@@ -65,51 +70,56 @@ def array_elements(body: str | None) -> list[tuple[object, str]]:
         return []
 
 
-def live_records(files: DataFrame) -> DataFrame:
-    """(id, run_id, file_no, line) of each live record of (file_no, written_at, body) files, in its newest state.
+def live_places(files: DataFrame) -> DataFrame:
+    """(file_no, digest, run_id, id, start, stop, of) of each live record of (file_no, written_at, body) files, in its newest state.
 
     The newest state of an id is that of the greatest (written_at, file_no, place in the file); a null time is the oldest.
     Where it is a tombstone, the record is not live. Bodies that are no complete array and elements without id hold none.
+    `digest` is the body's, by which a file is told from another one of the same number; `of` is the number of elements of the file. Only ids and places are shuffled.
     """
-    source = spread(files.select("file_no", F.coalesce(F.col("written_at").cast("double"), F.lit(float("-inf"))).alias("at"), "body"), "file_no")
+    source = spread(files.select("file_no", F.coalesce(F.col("written_at").cast("double"), F.lit(float("-inf"))).alias("at"), "body", F.xxhash64("body").alias("digest")), "file_no")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for no, at, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for place, (value, text) in enumerate(array_elements(body)):
+            for no, at, body, digest in zip(*(c.to_pylist() for c in batch.columns)):
+                elements = array_elements(body)
+                for place, (value, start, stop) in enumerate(elements):
                     if isinstance(value, dict) and value.get("id") is not None:
                         run = value.get("run_id")
-                        line = text.replace("\r", " ").replace("\n", " ")
-                        rows.append((str(value["id"]), None if run is None else str(run), bool(value.get("_deleted")), no, at, place, line))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, _SCAN_TYPES)], _SCAN_NAMES)
+                        rows.append((str(value["id"]), None if run is None else str(run), bool(value.get("_deleted")), no, at, place, start, stop, len(elements), digest))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(_SCANNED), _SCANNED.values())], list(_SCANNED))
 
-    states = source.mapInArrow(scan, "id string, run_id string, deleted boolean, file_no long, at double, place int, line string")
-    newest = states.groupBy("id").agg(F.max_by(F.struct("run_id", "deleted", "file_no", "line"), F.struct("at", "file_no", "place")).alias("s"))
-    return newest.filter("not s.deleted").select("id", "s.run_id", "s.file_no", "s.line")
+    states = source.mapInArrow(scan, "id string, run_id string, deleted boolean, file_no long, at double, place int, start int, stop int, of int, digest long")
+    newest = states.groupBy("id").agg(F.max_by(F.struct("run_id", "deleted", "file_no", "digest", "start", "stop", "of"), F.struct("at", "file_no", "place")).alias("s"))
+    return newest.filter("not s.deleted").select("s.file_no", "s.digest", "s.run_id", "id", "s.start", "s.stop", "s.of")
 
 
-_SCAN_NAMES = ["id", "run_id", "deleted", "file_no", "at", "place", "line"]
-_SCAN_TYPES = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.int32(), pa.string()]
+_SCANNED = {"id": pa.string(), "run_id": pa.string(), "deleted": pa.bool_(), "file_no": pa.int64(), "at": pa.float64(), "place": pa.int32(), "start": pa.int32(), "stop": pa.int32(), "of": pa.int32(), "digest": pa.int64()}
 
 
 @dataclass(frozen=True)
 class Consolidated:
-    """Files written by consolidate: `index` has (path, id, run_id, file_no, line_no), `manifest` (path, records, raw_bytes, file_bytes, checksum)."""
+    """Files written by consolidate.
+
+    index: (part, line_no, id, run_id, file_no) of every record; parts: (path, records, raw_bytes, file_bytes, checksum, whole,
+    cut), with how many source files went in with all their elements and with some; manifest: (path, parts, records, raw_bytes,
+    file_bytes, checksum) of the final files.
+    """
 
     index: DataFrame
+    parts: DataFrame
     manifest: DataFrame
-    records: int
 
     def lines(self) -> DataFrame:
         """(path, line_no, line) of all files, each checked against its length and checksum as it is read."""
         return read_checked(self.manifest)
 
     def verify(self) -> "Consolidated":
-        """Read everything back: raises unless each file's lengths, checksum and number of records agree with the manifest and the records written."""
-        counted = self.lines().count()
-        if counted != self.records:
-            raise ValueError(f"{self.records} records were written, {counted} read")
+        """Read everything back: raises unless each file's lengths, checksum and number of records agree with what was written."""
+        counted, written_records = self.lines().count(), self.index.count()
+        if counted != written_records:
+            raise ValueError(f"{written_records} records were written, {counted} read")
         return self
 
 
@@ -127,7 +137,7 @@ def read_checked(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{row['path']}: length or checksum differs")
                 raw = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
                 lines = raw.decode().split("\n")[:-1]
-                if len(raw) != row["raw_bytes"] or len(lines) != row["records"]:
+                if row["raw_bytes"] not in (None, len(raw)) or row["records"] not in (None, len(lines)):
                     raise ValueError(f"{row['path']}: {len(lines)} records of {len(raw)} bytes")
                 for i in range(0, len(lines), 10_000):
                     part = lines[i : i + 10_000]
@@ -136,24 +146,26 @@ def read_checked(manifest: DataFrame) -> DataFrame:
     return spread(manifest.select("path", "records", "raw_bytes", "file_bytes", "checksum"), "path").mapInArrow(read, "path string, line_no int, line string")
 
 
-def consolidate(records: DataFrame, target: str | None = None, file_bytes: int = FILE_BYTES) -> Consolidated:
-    """Write (id, run_id, file_no, line) records to files of about `file_bytes` in the folder `target` of a shared file system.
+def consolidate(files: DataFrame, target: str | None = None, file_bytes: int = FILE_BYTES) -> Consolidated:
+    """The live records of (file_no, written_at, body) files as lines of files of about `file_bytes`, in a shared folder.
 
-    Records go to files by hash of their id; no record at all gives no file. Order within a file is that of the ids.
+    Repeated rows of one file_no and body count once. No record at all gives no file. Bodies are shuffled once, with their live places; a part's
+    frames are never decoded again until they are read.
     """
-    spark = records.sparkSession
+    spark = files.sparkSession
     folder = (target or scratch_path(spark, "consolidated")).rstrip("/")
-    rows = written(records.select("id", "run_id", "file_no", "line"), "live-records")
-    size = rows.agg(F.sum(F.octet_length("line") + 1).alias("bytes"), F.count("*").alias("n")).first()
-    files = max(1, -(-(size.bytes or 0) // file_bytes))
+    once = files.filter("body is not null").groupBy("file_no", F.xxhash64("body").alias("digest")).agg(F.min("body").alias("body"))
+    live = written(live_places(files), "live-places")
+    places = live.groupBy(F.col("file_no").alias("no"), F.col("digest").alias("of_digest")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "id", "run_id"))).alias("places"), F.max("of").alias("of"))
+    bodies = spread_again(once.join(places, F.col("no").eqNullSafe(F.col("file_no")) & (F.col("digest") == F.col("of_digest"))), files, "file_no")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         import zstandard
 
-        system = path = name = out = None
+        name = out = None
         check, packer, pending = xxhash.xxh64(), zstandard.ZstdCompressor(level=3, write_checksum=True), bytearray()
-        raw_bytes = sent_bytes = n = 0
+        raw_bytes = sent_bytes = n = whole = cut = 0
 
         def flush():
             nonlocal sent_bytes
@@ -165,58 +177,66 @@ def consolidate(records: DataFrame, target: str | None = None, file_bytes: int =
                 pending.clear()
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                name = f"{folder}/part-{uuid.uuid4().hex}.ndjson.zst"
-                system, path = filesystem(name)
-                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                out = system.open_output_stream(path, compression=None)
-            for line in batch.column(3).to_pylist():
-                data = line.encode() + b"\n"
-                pending += data
-                raw_bytes += len(data)
+            index: list[tuple] = []
+            for no, body, live, of in zip(*(c.to_pylist() for c in batch.columns)):
+                if out is None:
+                    name = f"{folder}/parts/part-{uuid.uuid4().hex}.zst"
+                    system, path = filesystem(name)
+                    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    out = system.open_output_stream(path, compression=None)
+                whole += len(live) == of
+                cut += len(live) < of
+                for x in live:
+                    line = body[x["start"] : x["stop"]].replace("\r", " ").replace("\n", " ").encode() + b"\n"
+                    pending += line
+                    raw_bytes += len(line)
+                    index.append((x["id"], x["run_id"], no, n))
+                    n += 1
                 if len(pending) >= FRAME_BYTES:
                     flush()
-            yield _index_batch(name, batch, n)
-            n += batch.num_rows
+            if index:
+                columns = dict(zip(("id", "run_id", "file_no", "line_no"), zip(*index))) | {"path": [name] * len(index)}
+                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(index), f.type) for f in _WRITTEN], schema=_WRITTEN)
         if out is not None:
             flush()
             out.close()
-            yield pa.RecordBatch.from_pylist([{"path": name, "records": n, "raw_bytes": raw_bytes, "file_bytes": sent_bytes, "checksum": check.hexdigest()}], _WRITTEN)
+            yield pa.RecordBatch.from_pylist([{"path": name, "records": n, "raw_bytes": raw_bytes, "file_bytes": sent_bytes, "checksum": check.hexdigest(), "whole": whole, "cut": cut}], _WRITTEN)
 
-    done = written(rows.repartition(files, "id").sortWithinPartitions("id").mapInArrow(write, "path string, id string, run_id string, file_no long, line_no int, records long, raw_bytes long, file_bytes long, checksum string"), "consolidated-index")
-    manifest = done.filter("records is not null").select("path", "records", "raw_bytes", "file_bytes", "checksum")
-    return Consolidated(done.filter("records is null").select("path", "id", "run_id", "file_no", "line_no"), manifest, size.n)
+    done = written(bodies.select("file_no", "body", "places", "of").mapInArrow(write, "path string, id string, run_id string, file_no long, line_no int, records long, raw_bytes long, file_bytes long, checksum string, whole long, cut long"), "consolidated-index")
+    parts = done.filter("records is not null").select("path", "records", "raw_bytes", "file_bytes", "checksum", "whole", "cut")
+    joined = concatenate(spark, parts.select(F.col("path").alias("part"), F.col("file_bytes").alias("bytes"), "records", "raw_bytes", "checksum"), f"{folder}/files", file_bytes)
+    return Consolidated(done.filter("records is null").select(F.col("path").alias("part"), "line_no", "id", "run_id", "file_no"), parts, joined)
 
 
-_WRITTEN = pa.schema([("path", pa.string()), ("id", pa.string()), ("run_id", pa.string()), ("file_no", pa.int64()), ("line_no", pa.int32()), ("records", pa.int64()), ("raw_bytes", pa.int64()), ("file_bytes", pa.int64()), ("checksum", pa.string())])
+_WRITTEN = pa.schema([("path", pa.string()), ("id", pa.string()), ("run_id", pa.string()), ("file_no", pa.int64()), ("line_no", pa.int32()), ("records", pa.int64()), ("raw_bytes", pa.int64()), ("file_bytes", pa.int64()), ("checksum", pa.string()), ("whole", pa.int64()), ("cut", pa.int64())])
 
 
-def _index_batch(name: str, batch: pa.RecordBatch, start: int) -> pa.RecordBatch:
-    n = batch.num_rows
-    none = [pa.nulls(n, _WRITTEN.field(i).type) for i in range(5, 9)]
-    return pa.RecordBatch.from_arrays([pa.array([name] * n), *(batch.column(i) for i in range(3)), pa.array(range(start, start + n), pa.int32()), *none], schema=_WRITTEN)
+def concatenate_files(spark: SparkSession, source: str, pattern: str = "*", target: str | None = None, file_bytes: int = FILE_BYTES, header: bool = False) -> DataFrame:
+    """concatenate of the files of a folder that fit a pattern; empty files add nothing."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(source)
+    none = F.lit(None).cast("long")
+    parts = listed.select(F.col("path").alias("part"), F.col("length").alias("bytes"), none.alias("records"), none.alias("raw_bytes"), F.lit(None).cast("string").alias("checksum"))
+    return concatenate(spark, parts.filter("bytes > 0"), target, file_bytes, header)
 
 
-def concatenate_files(spark: SparkSession, source: str, pattern: str = "*", target: str | None = None, file_bytes: int = FILE_BYTES, header: bool = False) -> DataFrame:
+def concatenate(spark: SparkSession, parts: DataFrame, target: str | None = None, file_bytes: int = FILE_BYTES, header: bool = False) -> DataFrame:
     """Join newline-delimited files, or complete zstandard frames (*.zst), byte by byte; returns the manifest.
 
-    (path, part, parts, file_bytes, checksum). Plain files get a missing last line break; with `header`, the first line of
-    all but the first of a file's parts is left out. Compressed files are joined as they are, frame after frame, and may not
-    be mixed with plain ones in one call. Empty files add nothing.
+    parts: (part, bytes, records, raw_bytes, checksum), null where not known; what is known is checked. Result: (path, parts,
+    records, raw_bytes, file_bytes, checksum). Plain files get a missing last line break; with `header`, the first line of all
+    but the first of a file's parts is left out. Compressed files are joined as they are, frame after frame, and may not be
+    mixed with plain ones in one call. A part is copied in blocks, so its size does not matter.
     """
     folder = (target or scratch_path(spark, "joined")).rstrip("/")
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(source)
-    sizes = listed.select(F.col("path").alias("part"), F.col("length").alias("bytes")).filter("bytes > 0").withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(1024)))
+    sizes = parts.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(1024)))
     placed = written(running_sum(sizes, [], "bucket", ["part"], "bytes", "upto").withColumn("file", F.floor((F.col("upto") - 1) / F.lit(file_bytes))), "joined-plan")
 
-    def join(parts: pa.Table) -> pa.Table:
+    def join(plan: pa.Table) -> pa.Table:
         import xxhash
 
-        rows = sorted(parts.to_pylist(), key=lambda r: r["part"])
+        rows = sorted(plan.to_pylist(), key=lambda r: r["part"])
         packed = rows[0]["part"].endswith(".zst")
-        name = f"{folder}/joined-{uuid.uuid4().hex}.{'zst' if packed else 'txt'}"
+        name = f"{folder}/joined-{uuid.uuid4().hex}.{'ndjson.zst' if packed else 'txt'}"
         system, path = filesystem(name)
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         check, size = xxhash.xxh64(), 0
@@ -225,17 +245,27 @@ def concatenate_files(spark: SparkSession, source: str, pattern: str = "*", targ
                 if row["part"].endswith(".zst") != packed:
                     raise ValueError("compressed and plain files cannot be joined")
                 part_system, part_path = filesystem(row["part"])
+                own, read, skip, last = xxhash.xxh64(), 0, header and i > 0 and not packed, b"\n"
                 with part_system.open_input_stream(part_path, compression=None) as f:
-                    data = f.read()
-                if len(data) != row["bytes"]:
-                    raise ValueError(f"{row['part']}: {len(data)} bytes, {row['bytes']} listed")
-                if not packed:
-                    data = data if data.endswith(b"\n") else data + b"\n"
-                    if header and i:
-                        data = data.partition(b"\n")[2]
-                out.write(data)
-                check.update(data)
-                size += len(data)
-        return pa.table({"path": [name], "parts": pa.array([len(rows)], pa.int64()), "file_bytes": pa.array([size], pa.int64()), "checksum": [check.hexdigest()]})
-
-    return written(placed.groupBy("file").applyInArrow(join, "path string, parts long, file_bytes long, checksum string"), "joined-manifest")
+                    while block := f.read(BLOCK_BYTES):
+                        own.update(block)
+                        read += len(block)
+                        if skip:  # the header's line ends in this block or in a later one
+                            _, end, block = block.partition(b"\n")
+                            skip = not end
+                        if block:
+                            out.write(block)
+                            check.update(block)
+                            size += len(block)
+                            last = block[-1:]
+                if read != row["bytes"] or row["checksum"] not in (None, own.hexdigest()):
+                    raise ValueError(f"{row['part']}: {read} bytes of {row['bytes']}, or another checksum")
+                if not packed and last != b"\n":
+                    out.write(b"\n")
+                    check.update(b"\n")
+                    size += 1
+        known = lambda c: None if any(r[c] is None for r in rows) else sum(r[c] for r in rows)
+        return pa.table({"path": [name], "parts": pa.array([len(rows)], pa.int64()), "records": pa.array([known("records")], pa.int64()), "raw_bytes": pa.array([known("raw_bytes")], pa.int64()), "file_bytes": pa.array([size], pa.int64()), "checksum": [check.hexdigest()]})
+
+    schema = "path string, parts long, records long, raw_bytes long, file_bytes long, checksum string"
+    return written(placed.groupBy("file").applyInArrow(join, schema), "joined-manifest")

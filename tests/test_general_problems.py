@@ -33,16 +33,18 @@ def test_newest_states(spark, rows):
         (None, '[{"id": "a", "run_id": "r1", "x": 9}, {"id": "d", "run_id": "r4"}]'),
         (None, None),
     )
-    assert rows(C.live_records(df.union(df)), "id", "run_id", "file_no") == [("a", "r1", 1), ("c", None, 4), ("d", "r4", 5)]
+    assert rows(C.live_places(df.union(df)), "id", "run_id", "file_no") == [("a", "r1", 1), ("c", None, 4), ("d", "r4", 5)]
 
 
 def test_consolidated_files(spark, tmp_path, rows):
     df = files(spark, *((1, json.dumps([{"id": f"i{k}-{j}", "run_id": f"r{k}-{j}", "pad": "é" * 300} for j in range(5)], indent=2, ensure_ascii=False)) for k in range(40)))
-    done = C.consolidate(C.live_records(df), str(tmp_path / "out"), 40_000).verify()
-    assert done.records == 200 and 2 <= done.manifest.count() <= 4
+    done = C.consolidate(df.union(df.limit(3)), str(tmp_path / "out"), 700).verify()
+    assert done.index.count() == 200 and 1 < done.manifest.count() <= done.parts.count()
+    assert done.parts.agg(F.sum("whole"), F.sum("cut")).first()[:] == (40, 0)
     lines = [json.loads(r.line) for r in done.lines().collect()]
     assert {x["run_id"] for x in lines} == {f"r{k}-{j}" for k in range(40) for j in range(5)}
-    joined = done.lines().join(done.index, ["path", "line_no"])
+    parts = C.read_checked(done.parts).withColumnRenamed("path", "part")
+    joined = parts.join(done.index, ["part", "line_no"])
     assert joined.filter(F.get_json_object("line", "$.run_id") != F.col("run_id")).count() == 0 and joined.count() == 200
     path = done.manifest.first().path
     data = open(path, "rb").read()
@@ -52,9 +54,17 @@ def test_consolidated_files(spark, tmp_path, rows):
 
 
 def test_nothing_to_consolidate(spark, tmp_path):
-    done = C.consolidate(C.live_records(files(spark, (1, "[]"), (1, None)).filter("true")), str(tmp_path / "out")).verify()
-    assert done.records == 0 and done.index.count() == 0
-    assert C.live_records(files(spark, (1, "[]")).filter("false")).count() == 0
+    done = C.consolidate(files(spark, (1, "[]"), (1, None)), str(tmp_path / "out")).verify()
+    assert done.index.count() == 0 and done.manifest.count() == 0
+    assert C.live_places(files(spark, (1, "[]")).filter("false")).count() == 0
+
+
+def test_superseded_elements_are_cut_out(spark, tmp_path):
+    df = files(spark, (1, '\ufeff [{"id": "é1", "run_id": "a"},\n{"id": "2", "run_id": "b", "x": [1,\r\n 2]}] '), (2, '[{"id": "é1", "run_id": "a", "y": 1}]')).withColumn("file_no", F.when(F.col("file_no") > 0, F.col("file_no")))
+    done = C.consolidate(df, str(tmp_path / "out")).verify()
+    assert sorted(json.loads(r.line)["id"] for r in done.lines().collect()) == ["2", "é1"]
+    assert sorted((r.run_id, r.file_no) for r in done.index.collect()) == [("a", 1), ("b", None)]
+    assert done.parts.agg(F.sum("whole"), F.sum("cut")).first()[:] == (1, 1)
 
 
 def test_joining_bytes(spark, tmp_path):
