@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import GRAM_BREAKS, has_han
 from ..session import written
+from .hot import HOT, join_with_hot
 
 
 def term_counts(docs: DataFrame, id: str, words: str) -> DataFrame:
@@ -34,10 +35,7 @@ def tfidf(docs: DataFrame, id: str, words: str) -> DataFrame:
     n, postings = totals.n or 0, totals.postings
     counts = all_counts.filter("term is not null").withColumn("tf", F.col("count") / F.col("length"))
     df = written(document_frequency(counts), "document-frequency")
-    often = F.col("df") >= max(1.0, postings / 10_000)
-    hot = F.broadcast(df.filter(often))
-    rare = counts.join(hot.select("term"), "term", "left_anti").join(df.filter(~often), "term")
-    joined = counts.join(hot, "term").unionByName(rare)
+    joined = join_with_hot(counts, df, "term", F.col("df") >= max(1.0, postings / HOT))
     return joined.withColumn("weight", F.col("tf") * (F.ln((F.lit(n) + 1) / (F.col("df") + 1)) + 1))
 
 
