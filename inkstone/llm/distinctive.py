@@ -15,20 +15,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.hot import HOT, join_with_hot
 from ..session import written
 
-HOT = 10_000
-
 
 def _em(count: np.ndarray, background: np.ndarray, record: np.ndarray, starts: np.ndarray, own: float, rounds: int, tolerance: float) -> np.ndarray:
     """P(term | record) of flat postings sorted by record; starts: where each record begins."""
     p = count / np.add.reduceat(count, starts)[record]
+    moving = np.ones(len(starts), bool)  # each record stops for itself, whatever others are in its batch
     for _ in range(rounds):
         e = count * (own * p) / ((1 - own) * background + own * p)
         q = e / np.add.reduceat(e, starts)[record]
-        done = np.abs(q - p).max(initial=0.0) < tolerance
-        p = q
-        if done:
+        moved = np.maximum.reduceat(np.abs(q - p), starts)
+        p = np.where(moving[record], q, p)
+        moving &= moved >= tolerance
+        if not moving.any():
             break
     return p
 
@@ -46,9 +47,7 @@ def distinctive_terms(records: DataFrame, own: float = 0.1, rounds: int = 50, to
     n_records, n_words = totals.records, totals.words or 1
     postings = postings.filter("term <> ''")
     stats = written(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("cf")), "term-stats")
-    often = F.col("df") >= max(1.0, totals.rows / HOT)
-    hot = F.broadcast(stats.filter(often))
-    joined = postings.join(hot, "term").unionByName(postings.join(F.broadcast(stats.filter(often).select("term")), "term", "left_anti").join(stats.filter(~often), "term"))
+    joined = join_with_hot(postings, stats, "term", F.col("df") >= max(1.0, totals.rows / HOT))
     per_record = joined.groupBy("id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("term", "c", "df", "cf"))).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.hot import HOT, join_with_hot
 from ..session import written
 
 _WIDTH = regex.compile(r"[　＀-￯]")
@@ -93,20 +94,31 @@ def collapse_forms(df: DataFrame, id: str = "id", text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array(names, pa.string()), pa.array(values, pa.string())], ["raw", "name", "value"])
 
     # equal raw texts are parsed once: a text that a third of all records have is one row from here on
-    texts = records.groupBy("raw").agg(F.min("text").alias("text"))
-    items = written(texts.mapInArrow(parse, "raw binary, name string, value string").select("raw", *(F.unhex(F.md5(c)).alias(f"{c}_raw") for c in ("name", "value")), "name", "value"), "forms-items")
-    strings = items.select(F.explode(F.array(*(F.struct(F.col(f"{c}_raw").alias("raw"), F.col(c).alias("s")) for c in ("name", "value")))).alias("x")).select("x.*").groupBy("raw").agg(F.min("s").alias("s"))
+    texts = written(records.groupBy("raw").agg(F.min("text").alias("text"), F.count("*").alias("n")), "forms-texts")
+    items = written(texts.select("raw", "text").mapInArrow(parse, "raw binary, name string, value string").select("raw", *(F.unhex(F.md5(c)).alias(f"{c}_raw") for c in ("name", "value")), "name", "value"), "forms-items")
+    uses = items.select(F.explode(F.array(*(F.struct(F.col(f"{c}_raw").alias("raw"), F.col(c).alias("s")) for c in ("name", "value")))).alias("x")).select("x.*")
+    strings = uses.groupBy("raw").agg(F.min("s").alias("s"), F.count("*").alias("n"))
 
     def canonicalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([canonical(s) for s in batch.column(1).to_pylist()], pa.string())], ["raw", "form"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([canonical(s) for s in batch.column(1).to_pylist()], pa.string()), batch.column(2)], ["raw", "form", "n"])
 
-    forms = written(strings.mapInArrow(canonicalise, "raw binary, form string").select("raw", F.unhex(F.md5("form")).alias("form")), "forms-strings")
+    forms = written(strings.select("raw", "s", "n").mapInArrow(canonicalise, "raw binary, form string, n long").select("raw", F.unhex(F.md5("form")).alias("form"), "n"), "forms-strings")
     # the dictionary: one integer for each distinct canonical form, fixed by writing it
-    dictionary = written(forms.select("form").distinct().withColumn("code", F.monotonically_increasing_id()), "forms-dictionary")
-    codes = written(forms.join(dictionary, "form").select("raw", "code"), "forms-codes")
-    named = items.select("raw", "name_raw", "value_raw").join(codes.select(F.col("raw").alias("name_raw"), F.col("code").alias("name")), "name_raw").join(codes.select(F.col("raw").alias("value_raw"), F.col("code").alias("value")), "value_raw")
+    dictionary = written(forms.groupBy("form").agg(F.count("*").alias("raws")).withColumn("code", F.monotonically_increasing_id()), "forms-dictionary")
+    totals = forms.agg(F.sum("n").alias("uses"), F.count("*").alias("strings")).crossJoin(records.agg(F.count("*").alias("records"))).first()
+    often = lambda c, total: F.col(c) >= max(1.0, (total or 0) / HOT)
+    codes = written(join_with_hot(forms, dictionary, "form", often("raws", totals.strings)).select("raw", "code", "n"), "forms-codes")
+    # names such as the empty one, and common values, are in a large share of the items: their codes are broadcast
+    named = items.select("raw", "name_raw", "value_raw")
+    for c in ("name", "value"):
+        named = join_with_hot(named, codes.select(F.col("raw").alias(f"{c}_raw"), F.col("code").alias(c), F.col("n").alias("_n")), f"{c}_raw", often("_n", totals.uses)).drop("_n", f"{c}_raw")
     tuples = named.groupBy("raw").agg(F.sort_array(F.collect_list(F.struct("name", "value"))).alias("tuple"))
-    keyed = written(records.select("id", "raw").join(tuples, "raw").select("id", "tuple"), "forms-keyed")
-    kept = keyed.groupBy("tuple").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies"))
-    return keyed.join(kept, "tuple").select("id", "keep_id", "copies")
+    keyed = written(tuples.join(texts.select("raw", "n"), "raw"), "forms-keyed")
+    # tuples of distinct raw texts, so many copies of one text are one row here, and a set's size is the sum of theirs
+    sets = written(keyed.groupBy("tuple").agg(F.sum("n").alias("copies"), F.count("*").alias("raws")).withColumn("set", F.monotonically_increasing_id()), "forms-sets")
+    of_raw = written(join_with_hot(keyed, sets, "tuple", often("raws", totals.records)).select("raw", "set", "copies", "n"), "forms-of-raw")
+    placed = written(join_with_hot(records.select("id", "raw"), of_raw, "raw", often("n", totals.records)).select("id", "set", "copies"), "forms-placed")
+    # the smallest id of a set is found by partial sums, sets with many records are joined by broadcast
+    kept = placed.groupBy("set").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
+    return join_with_hot(placed, kept, "set", often("n", totals.records)).select("id", "keep_id", "copies")

@@ -17,13 +17,26 @@ from pyspark.sql import types as T
 
 from ..session import spread_again
 
-# Abbreviations that never end a sentence, by language.
+# Abbreviations that never end a sentence, by language; those of "any" hold in all of them.
 NEVER = {
-    "en": "mr mrs ms dr prof rev hon capt lt col gen sgt gov sen rep st mt vs viz cf eg ie al approx dept incl",
+    "any": "mr mrs ms dr prof vs cf al st dept approx",
+    "en": "rev hon capt lt col gen sgt gov sen rep mt viz eg ie incl",
     "de": "bzw ca vgl hr fr frl bde evtl ggf inkl sog str usf zzgl ggü mind dipl bspw geb mio mrd",
-    "fr": "mm mme mmes mlle mlles mgr av env ex réf",
+    "fr": "m mm mme mmes mlle mlles mgr av env ex réf",
     "es": "sra sres srta dra drs ud uds vd vds avda ej lic gral ee aprox",
+    "it": "sig sigg dott avv ing pag es ecc arch",
+    "pt": "sra sras dra exa av pág ex profa",
     "hi": "डॉ श्री श्रीमती प्रो पं कु",
+    "ru": "г гг ул рис стр см ср им проф акад т п д пр тыс млн млрд напр обл пос ред изд табл",
+}
+# Words by which a language is known, and with which its sentences often begin.
+FUNCTION_WORDS = {
+    "en": "the he she it they we i you in on at this that these those there a an but and or if when what then as after before my his her our their its who how why where so not of to was is are were with for had have",
+    "de": "der die das ein eine einen er sie es wir ich und aber wenn dann im am auf mit von den dem nicht ist war zu sich als auch nach bei",
+    "fr": "le la les un une il elle ils elles nous vous je et mais dans ce cette ces puis des du est était au aux pour avec sur que qui pas",
+    "es": "el la los las un una él ella ellos nosotros yo y pero en este esta entonces se del al es era por con para que no lo su",
+    "it": "il lo la gli le un una lui lei noi e ma in questo questa poi di del della è era per con che non si",
+    "pt": "o a os as um uma ele ela eles nós eu e mas em este esta então de do da é era por com para que não se",
 }
 # Abbreviations that do not end a sentence before a number.
 NUMBERED = "no nos nr fig figs abb vol vols eq pp ch chap cap sec art bd bde núm pág págs ed tel"
@@ -40,7 +53,12 @@ ORDINAL_DE = "am im der den dem des die das vom zum zur bis seit ab jeden jedem
 # Words with which a Chinese sentence goes on after a quotation or a bracket.
 GOES_ON_ZH = ("然后", "接着", "随后", "之后", "于是", "就", "便", "才", "又", "并", "的", "了", "是", "说", "问", "道", "也", "都", "却")
 
-_NEVER = {w for words in NEVER.values() for w in words.split()}
+_NEVER = {language: frozenset(words.split()) for language, words in NEVER.items()}
+_FUNCTION = {language: frozenset(words.split()) for language, words in FUNCTION_WORDS.items()}
+_LATIN_WORD = regex.compile(r"[\p{Latin}\p{M}]+")
+_CYRILLIC, _DEVANAGARI = regex.compile(r"\p{Cyrillic}"), regex.compile(r"\p{Devanagari}")
+#: Characters after a full stop by which the language of its surroundings is told as well.
+AROUND = 80
 _NUMBERED = set(NUMBERED.split())
 _LIST_NUMBER = regex.compile(r"\d{1,3}[.)]\s+[\p{Lu}\p{Lo}]")
 _TITLES = {"sr"}
@@ -60,7 +78,8 @@ _CONTINUES = regex.compile(r"[,，、;；:：]")
 _WORD = regex.compile(r"[[\p{L}\p{M}\p{N}.'’_\-]--[\p{Han}\p{Hiragana}\p{Katakana}]]*$", regex.V1)
 _NEXT_WORD = regex.compile(r"[\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
-_THAI_GAP = regex.compile(r"(?<=[฀-๿])\s+(?=[฀-๿一-鿿぀-ヿऀ-ॿ])")
+_THAI_GAP = regex.compile(r"(?<=[\u0e00-\u0eff])\s+(?=[\u0e00-\u0eff一-鿿぀-ヿऀ-ॿ])")
+_KHMER = regex.compile(r"[\u1780-\u17d3]")
 _GAP = regex.compile(r"(?<=[^\s\p{N}])\s+(?=[^\s\p{N}])")
 _HAN, _KANA = regex.compile(r"[一-鿿]"), regex.compile(r"[぀-ヺー-ヿ]")
 _CASED = regex.compile(r"[\p{Lu}\p{Ll}\p{Lt}]")
@@ -172,6 +191,25 @@ def _block_ends(block: str) -> Iterator[int]:
         start = end
 
 
+def _languages(block: str, start: int, dot: int) -> list[str]:
+    """The languages whose rules hold at a full stop: those of most known words around it; without any, all of the script."""
+    around = block[start : dot + AROUND]
+    counts = dict.fromkeys(_FUNCTION, 0)
+    for m in _LATIN_WORD.finditer(around):
+        word = m.group().lower()
+        for language, words in _FUNCTION.items():
+            counts[language] += word in words
+    most = max(counts.values())
+    found = [language for language, n in counts.items() if n == most]
+    return found + (["ru"] if _CYRILLIC.search(around) else []) + (["hi"] if _DEVANAGARI.search(around) else [])
+
+
+def _begins_sentence(block: str, rest: int, languages: list[str]) -> bool:
+    """Whether the next word is one with which sentences begin rather than a name."""
+    m = _NEXT_WORD.match(block, rest)
+    return bool(m) and any(m.group().lower() in _FUNCTION.get(x, ()) for x in languages)
+
+
 def _dot_ends(block: str, start: int, dot: int, end: int, rest: int, nx: str, gap: bool) -> bool:
     word = _WORD.search(block, max(start, dot - 40), dot).group()
     following = block[end : end + 1]
@@ -185,7 +223,13 @@ def _dot_ends(block: str, start: int, dot: int, end: int, rest: int, nx: str, ga
     if not low:
         return True
     is_han = bool(_HAN.match(nx)) if nx else False
-    if low in _NEVER:
+    if low == "st":
+        # a saint, or a street at the end of a sentence
+        return bool(nx) and nx.isupper() and _begins_sentence(block, rest, _languages(block, start, dot))
+    if low in _NEVER["any"]:
+        return False
+    languages = _languages(block, start, dot) if len(low) < 9 else []
+    if any(low in _NEVER.get(x, ()) for x in languages):
         return False
     if low in _NUMBERED:
         return not nx.isdigit()
@@ -201,7 +245,10 @@ def _dot_ends(block: str, start: int, dot: int, end: int, rest: int, nx: str, ga
         nx_word = _NEXT_WORD.match(block, rest)
         return nx.isupper() and not (nx_word and nx_word.group().lower() in _DAYS) or not nx
     if len(low) == 1 and low.isalpha() and low.isascii():
-        return False  # an initial, or a part of an abbreviation
+        if word == "I" and languages == ["en"]:
+            return True
+        # an initial, or a part of an abbreviation, unless the next word is no name
+        return nx.isupper() and bool(_NEXT_WORD.match(block, rest)) and len(_NEXT_WORD.match(block, rest).group()) > 1 and _begins_sentence(block, rest, languages)
     if regex.fullmatch(r"(?:\p{L}\.)+\p{L}", low):
         return False
     if word.isdigit() and len(word) <= 2 and nx.isupper():
@@ -241,8 +288,8 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         return []
     spans: list[tuple[int, int]] = []
     han = len(_HAN.findall(text))
-    bare = han > 0 and not _SOME_MARK.search(text) and not _KANA.search(text) and han >= len(_CASED.findall(text))
-    thai = any("฀" <= c <= "๿" for c in text)
+    bare = (han > 0 or _KHMER.search(text) is not None) and not _SOME_MARK.search(text) and not _KANA.search(text) and max(han, len(_KHMER.findall(text))) >= len(_CASED.findall(text))
+    thai = any("\u0e00" <= c <= "\u0eff" for c in text)  # and Lao
     edges = [0]
     for m in _BLANK.finditer(text):
         edges += [m.start(), m.end()]

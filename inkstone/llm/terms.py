@@ -31,8 +31,9 @@ def _duck(spill: str):
     con = duckdb.connect()
     con.execute("SET threads = 1")
     con.execute(f"SET memory_limit = '{MEMORY}'")
-    if spill.startswith(("file:", "/")):
-        con.execute(f"SET temp_directory = '{spill.removeprefix('file://').removeprefix('file:')}/{uuid.uuid4().hex}'")
+    # DuckDB spills to folders it can open as files; elsewhere it has to do with its memory, which a partition's limit fits
+    local = spill.startswith(("file:", "/"))
+    con.execute(f"SET temp_directory = '{spill.removeprefix('file://').removeprefix('file:') + '/' + uuid.uuid4().hex if local else ''}'")
     con.execute("CREATE TABLE part (task VARCHAR, term VARCHAR, occurrences BIGINT, records BIGINT)")
     return con
 
@@ -83,13 +84,16 @@ def term_frequencies(records: DataFrame, rare_below: int = 3, common_above: floa
     def prefix(level: int) -> Column:
         return F.shiftrightunsigned("h", 64 - BITS * level) if level else F.lit(0).cast("long")
 
-    depth, path, rest, inside = F.lit(0), prefix(0), parts, F.lit(True)
+    # a partition above the limit is split by the next bits, unless all of its rows have one hash. Of such partitions there is
+    # no more than one for every `limit` rows, so the table of their prefixes (8 bytes each) is small beside the rows
+    placed = parts.withColumns({"depth": F.lit(0), "path": prefix(0)})
     for level in range(64 // BITS):
-        over = [r.p for r in rest.groupBy(prefix(level).alias("p")).count().filter(F.col("count") > limit).select("p").collect()]
-        if not over:
+        within = placed.filter(F.col("depth") == level)
+        over = written(within.groupBy("path").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).filter((F.col("n") > limit) & (F.col("a") != F.col("b"))).select("path", F.lit(True).alias("over")), "terms-over")
+        if not over.limit(1).count():
             break
-        inside = inside & prefix(level).isin(over)
-        depth, path, rest = F.when(inside, level + 1).otherwise(depth), F.when(inside, prefix(level + 1)).otherwise(path), parts.filter(inside)
+        split = (F.col("depth") == level) & F.col("over").isNotNull()
+        placed = placed.join(F.broadcast(over), "path", "left").select("task", "term", "occurrences", "records", "h", F.when(split, level + 1).otherwise(F.col("depth")).alias("depth"), F.when(split, prefix(level + 1)).otherwise(F.col("path")).alias("path"))
 
     def final_table(part: pa.Table) -> pa.Table:
         con = _duck(spill)
@@ -98,7 +102,7 @@ def term_frequencies(records: DataFrame, rare_below: int = 3, common_above: floa
         con.close()
         return out
 
-    done = parts.withColumn("depth", depth).withColumn("path", path).select("task", "term", "occurrences", "records", "depth", "path").groupBy("depth", "path").applyInArrow(final_table, _SCHEMA)
+    done = placed.select("task", "term", "occurrences", "records", "depth", "path").groupBy("depth", "path").applyInArrow(final_table, _SCHEMA)
     n = F.create_map(*(x for k, v in (totals or {"": 0}).items() for x in (F.lit(k), F.lit(v).cast("long"))))
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.lit(common_above) * n[F.col("task")], "common")
     return done.filter("term <> ''").withColumn("mark", mark)

@@ -20,12 +20,10 @@ from ..session import written
 
 #: Vectors that a list should hold, lists at most, sampled vectors for the fit at most, members of a piece of a list.
 LIST_SIZE, MAX_LISTS, SAMPLE, PIECE = 200, 16_384, 100_000, 4_096
-#: Centroids up to which comparing with all of them costs less than following links.
-FEW = 1_024
 #: Distance to a list's centroid, over that to the nearest, up to which a vector is kept in the list, and looks into it; and how many.
 KEEP_RATIO, KEEP_LISTS, PROBE_RATIO, PROBE_LISTS = 1.10, 4, 1.5, 24
 #: The same for neighbours of at least CLOSE similarity, which share their nearest lists.
-CLOSE, CLOSE_RATIO, CLOSE_LISTS = 0.8, 1.25, 6
+CLOSE, CLOSE_RATIO, CLOSE_LISTS = 0.8, 1.25, 10
 #: Lists that a query looks into at least, and at most when it has found fewer than k vectors.
 LEAST_LISTS, MORE_LISTS = 2, 80
 
@@ -104,7 +102,7 @@ class CentroidGraph:
     def search(self, q: np.ndarray, r: int, beam: int = 16, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the about r nearest centroids of each query, best first; id -1 for none."""
         n = len(self.c)
-        if n <= max(FEW, 4 * r) or not self.links.shape[1]:
+        if n <= 4 * max(r, beam) or not self.links.shape[1]:  # the first step meets nearly all of them
             s = q @ self.c.T
             order = np.argsort(-s, axis=1, kind="stable")[:, : min(r, n)]
             return order.astype(np.int32), np.take_along_axis(s, order, 1)
@@ -178,17 +176,18 @@ def similar_vectors(vectors: DataFrame, k: int = 10, min_similarity: float | Non
 
     schema = "list int, member boolean, query boolean, key binary, unit binary, words array<string>"
     routed = written(reps.select("key", "unit", "words").mapInArrow(route, schema), "vectors-lists")
-    # lists with more members or queries than a piece holds (a row per list at most, MAX_LISTS of them)
+    # lists with more members or queries than a piece holds: a row per list at most, of which there are no more than MAX_LISTS
     sizes = routed.groupBy("list").agg(F.count_if("member").alias("m"), F.count_if("query").alias("q"))
-    long = [(r["list"], -(-r.m // piece) or 1, -(-r.q // (2 * piece)) or 1) for r in sizes.filter((F.col("m") > piece) | (F.col("q") > 2 * piece)).collect()]
+    pieces = lambda c, size: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(size))).cast("int")
+    long = written(sizes.filter((F.col("m") > piece) | (F.col("q") > 2 * piece)).select("list", F.struct(pieces("m", piece).alias("m"), pieces("q", 2 * piece).alias("q")).alias("p")), "vectors-long")
+    some_long = long.limit(1).count() > 0
 
     def in_pieces(rows: DataFrame) -> DataFrame:
         """Every member of a list meets every query in one piece: members are dealt out by hash and repeated for each part of
         the queries, queries are dealt out likewise and repeated for each part of the members."""
-        if not long:
+        if not some_long:
             return rows.withColumn("piece", F.lit(0))
-        parts = F.create_map(*(x for i, m, q in long for x in (F.lit(i), F.struct(F.lit(m).alias("m"), F.lit(q).alias("q")))))
-        rows = rows.withColumn("p", F.coalesce(parts[F.col("list")], F.struct(F.lit(1).alias("m"), F.lit(1).alias("q"))))
+        rows = rows.join(F.broadcast(long), "list", "left").withColumn("p", F.coalesce("p", F.struct(F.lit(1).alias("m"), F.lit(1).alias("q"))))
         own_m, own_q = (F.pmod(F.xxhash64("key", F.lit(seed)), F.col(f"p.{c}")).cast("int") for seed, c in ((1, "m"), (2, "q")))
         place = lambda m, q: F.struct((m * F.col("p.q") + q).alias("piece"), (F.col("member") & (m == own_m)).alias("member"), (F.col("query") & (q == own_q)).alias("query"))
         none = F.array().cast("array<struct<piece:int,member:boolean,query:boolean>>")

@@ -19,7 +19,7 @@ from inkstone.llm.mixing import mix_shares, mix_sources, token_sizes
 from inkstone.llm.sentences import sentence_spans, split_sentences
 from inkstone.llm.subjects import document_subjects
 from inkstone.llm.terms import record_terms, term_frequencies
-from inkstone.llm.tokenizer import count_tokens, decode_corpus, encode_corpus, transducer
+from inkstone.llm.tokenizer import PATTERN, count_tokens, decode_corpus, encode_corpus, transducer
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -183,6 +183,12 @@ CASES = [
     ["详见No. 12和Vol. 7。", "很好。"],
     ["El Sr. Paz y la Dra. Ruiz llegaron.", "¿Por qué?", "Trabaja en EE. UU. desde ayer."],
     ["आज टीम ने रिपोर्ट पढ़ी।", "\"क्या यह सही है?\" छात्र ने पूछा।", "डॉ. ओलो ने परीक्षा ली।"],
+    ["It was all in his mind.", "Then he left.", "I met my ex.", "She was kind.", "So do I.", "She left the room."],
+    ["The vitamin is C.", "It hurt.", "He lives at 5 Oak St.", "He is old.", "They saw St. John and J. R. Smith there."],
+    ["Он поехал в г. Москву.", "См. рис. 5 на стр. 7.", "Это ул. Ленина."],
+    ["Das kostet mind. Hundert Euro.", "Der Preis ist hoch."],
+    ["Elle a vu M. Le Goff et Mme. La Tour.", "Puis elle est partie."],
+    ["Il sig. Rossi è partito.", "Poi la dott. Bianchi è arrivata."],
 ]
 
 
@@ -198,6 +204,8 @@ def test_white_space_separates():
     assert take("ครูอ่านหนังสือ ครูเขียน 3 ชุด\nทีมงานแปล") == ["ครูอ่านหนังสือ", "ครูเขียน 3 ชุด", "ทีมงานแปล"]
     assert take("今天很好 有 18 个 明天也好") == ["今天很好", "有 18 个", "明天也好"]
     assert take("Title\n\nOne line\nof text\r\n \r\nend") == ["Title", "One line\nof text", "end"]
+    assert take("ຂ້ອຍໄປ ລາວມາ\nພວກເຂົາ") == ["ຂ້ອຍໄປ", "ລາວມາ", "ພວກເຂົາ"]
+    assert take("ខ្ញុំទៅ គាត់មក") == ["ខ្ញុំទៅ", "គាត់មក"] and take("ខ្ញុំទៅ គាត់។ មក") == ["ខ្ញុំទៅ គាត់។", "មក"]
     assert take(None) == take("") == take(" \n\n　") == []
 
 
@@ -239,6 +247,15 @@ def test_collapsed_forms(spark, rows):
 # -- 8: tokens --------------------------------------------------------------------------------------------------------
 
 
+@pytest.fixture(scope="module")
+def library():
+    """The encoding of the vocabulary's own library, which the transducer has to equal."""
+    import tiktoken
+
+    t = transducer("byte_bpe_50k", "/opt/tokenizers")
+    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=t.ranks, special_tokens={})
+
+
 @pytest.fixture(scope="module")
 def bpe():
     return transducer("byte_bpe_50k", "/opt/tokenizers")
@@ -246,21 +263,37 @@ def bpe():
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=200))
-def test_tokens_round_trip(text):
+def test_tokens_round_trip(library, text):
     t = transducer("byte_bpe_50k", "/opt/tokenizers")
-    assert t.decode(t.encode(text)) == text and t.encode(text) == t.encoding.encode_ordinary(text)
+    assert t.decode(t.encode(text)) == text and t.encode(text) == library.encode_ordinary(text)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from("ab é自然xyz1"), min_size=1, max_size=400))
-def test_streamed_pre_tokens(text):
+def test_streamed_pre_tokens(library, text):
     t = transducer("byte_bpe_50k", "/opt/tokenizers")
-    assert list(t.long_piece(text.encode())) == t.encoding._encode_single_piece(text.encode())
+    assert list(t.stream(text.encode())) == library._encode_single_piece(text.encode())
+
+
+def test_stable_tokens_come_before_the_end(bpe):
+    """The memory of a long pre-token is bounded: tokens are emitted long before its last byte is read."""
+
+    class Reading(bytes):
+        furthest = 0
+
+        def __getitem__(self, at):
+            if isinstance(at, slice):
+                Reading.furthest = max(Reading.furthest, at.start)
+            return bytes.__getitem__(self, at)
+
+    piece = Reading(("abcdefgh语言" * 2_000).encode())
+    next(bpe.stream(piece))
+    assert Reading.furthest < 2_000 < len(piece)
 
 
 @pytest.mark.parametrize("text", ["word " * 30_000, "自然，语言。" * 20_000, "x" * 50_000, "语" * 30_000, " " * 40_000 + "a", "<|endoftext|> " * 5_000, "it's we'll\n\n" * 9_000])
-def test_long_texts_in_chunks(bpe, text):
-    assert len(text) > 16_384 and bpe.encode(text) == bpe.encoding.encode_ordinary(text)
+def test_long_texts(bpe, library, text):
+    assert len(text) > 16_384 and bpe.encode(text) == library.encode_ordinary(text)
     assert bpe.decode(bpe.encode(text)) == text
 
 
@@ -292,6 +325,13 @@ def test_shares_and_repeats(spark):
         assert budget is None or budget - 40 <= mix.agg(F.sum("n_tokens")).first()[0] <= budget
         uses = mix.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.count_distinct("pass").alias("d")).groupBy("source").agg(F.max("n").alias("n"), F.max(F.col("n") - F.col("d")).alias("x")).collect()
         assert {r.source: r.n for r in uses}["big"] == 1 and all(r.n <= {"big": 1, "small": 4, "tiny": 5}[r.source] and r.x == 0 for r in uses)
+    # beyond what the small sources can give, they stop at their caps and the big one goes on
+    mix = mix_sources(sizes, goal, 60_000, ranges=16)
+    uses = {r.source: (r.n, r.t) for r in mix.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
+    there = {r.source: r.t for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert uses["tiny"][1] == 5 * there["tiny"] and uses["small"][1] == 4 * there["small"] and 60_000 - 40 <= sum(t for _, t in uses.values()) <= 60_000
+    assert mix_sources(sizes, goal, 10**9).agg(F.sum("n_tokens")).first()[0] == there["big"] + 4 * there["small"] + 5 * there["tiny"]
+    assert sorted(map(tuple, mix.collect())) == sorted(map(tuple, mix_sources(sizes, goal, 60_000, ranges=700).collect()))
     # any prefix in order of finish has the shares as well
     first = mix_sources(sizes, goal, ranges=16).orderBy("finish").limit(600).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
     total = sum(r.n for r in first)
