@@ -15,8 +15,8 @@ from ..models.lexicon import DEFAULT
 from ..session import written
 from . import weights
 
-#: Vectors in one block of rows or queries.
-BLOCK = 2_048
+#: Vectors in one block of rows or queries; matrices that the driver adds up at most.
+BLOCK, FEW_SUMS = 2_048, 64
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -130,7 +130,8 @@ def kmeans(df: DataFrame, id: str, vec: str, k: int = 5, rounds: int = 50, seed:
 def principal_components(df: DataFrame, id: str, vec: str, k: int = 2) -> tuple[DataFrame, np.ndarray]:
     """((id, point), variances): centred vectors on the k directions of greatest variance, whose largest entry is positive.
 
-    Sums and products are added up per task; only dim x dim numbers reach the driver. Fewer than two vectors give zeros.
+    Sums and products are added up per task, then in two steps of groups of tasks; no more than FEW_SUMS matrices of dim x dim
+    numbers reach the driver. Fewer than two vectors give zeros.
     """
     rows = df.select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("vec")).filter("vec is not null")
     kind = rows.schema["id"].dataType.simpleString()
@@ -146,8 +147,16 @@ def principal_components(df: DataFrame, id: str, vec: str, k: int = 2) -> tuple[
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()]), pa.array([outer.tobytes()])], ["n", "total", "outer"])
 
+    def added(part: pa.Table) -> pa.Table:
+        matrices = [sum(np.frombuffer(x.as_buffer()) for x in part[c]) for c in ("total", "outer")]
+        return pa.table({"n": pa.array([sum(part["n"].to_pylist())], pa.int64()), **{c: pa.array([m.tobytes()], pa.binary()) for c, m in zip(("total", "outer"), matrices)}})
+
+    schema = "n long, total binary, outer binary"
+    parts = rows.select("vec").mapInArrow(moments, schema)
+    for slots in (FEW_SUMS * FEW_SUMS, FEW_SUMS):
+        parts = parts.groupBy(F.pmod(F.xxhash64("total", "n"), F.lit(slots)).alias("slot")).applyInArrow(added, schema)
     n, total, outer = 0, 0.0, 0.0
-    for r in rows.select("vec").mapInArrow(moments, "n long, total binary, outer binary").toLocalIterator():
+    for r in parts.toLocalIterator():
         n, total, outer = n + r.n, total + np.frombuffer(r.total), outer + np.frombuffer(r.outer)
     if n < 2:
         return rows.select("id", F.array(*[F.lit(0.0)] * k).alias("point")), np.zeros(k)
@@ -189,7 +198,7 @@ def train_embeddings(docs: DataFrame, id: str, words: str, vocab_size: int = 300
     spark = docs.sparkSession
     used = docs.select(F.col(id).alias("id"), embedding_words(words, chinese_only=chinese_only).alias("w"))
     vocab = written(weights.vocabulary(used, "id", "w", vocab_size, min_count), "vocabulary")
-    cells = weights.ppmi(written(weights.cooccurrence(used, "w", window, True, vocab), "cooccurrence")).collect()
+    cells = weights.ppmi(weights.cooccurrence(used, "w", window, True, vocab)).collect()
     names = vocab.orderBy("rank").collect()
     schema = "word string, vector array<double>, count long, rank int"
     if not names or not cells:

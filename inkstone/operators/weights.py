@@ -86,10 +86,13 @@ def cooccurrence(docs: DataFrame, words: str, window: int = 4, equal_words: bool
 
 def ppmi(edges: DataFrame) -> DataFrame:
     """(src, dst, ppmi): max(ln(c * total / (row sum * row sum + 1e-9)), 0) of a symmetric count table."""
-    sums = edges.groupBy("src").agg(F.sum("weight").alias("s"))
-    total = F.broadcast(edges.agg(F.sum("weight").alias("total")))
-    joined = edges.join(sums.withColumnRenamed("s", "rs"), "src").join(sums.select(F.col("src").alias("dst"), F.col("s").alias("cs")), "dst").crossJoin(total)
-    value = F.ln(F.col("weight") * F.col("total") / (F.col("rs") * F.col("cs") + 1e-9))
+    edges = written(edges.select("src", "dst", "weight"), "cooccurrence")
+    whole = edges.agg(F.sum("weight").alias("total"), F.count("*").alias("edges")).first()
+    sums = written(edges.groupBy("src").agg(F.sum("weight").alias("s"), F.count("*").alias("n")), "row-sums")
+    often = F.col("n") >= max(1.0, whole.edges / HOT)
+    joined = join_with_hot(edges, sums.withColumnRenamed("s", "rs"), "src", often).drop("n")
+    joined = join_with_hot(joined, sums.select(F.col("src").alias("dst"), F.col("s").alias("cs"), "n"), "dst", often)
+    value = F.ln(F.col("weight") * F.lit(whole.total) / (F.col("rs") * F.col("cs") + 1e-9))
     return joined.filter("weight > 0").select("src", "dst", F.greatest(value, F.lit(0.0)).alias("ppmi"))
 
 

@@ -14,7 +14,7 @@ from ..operators.graph import pagerank
 from ..operators.markov import decoded, hmm_counts, hmm_from_counts
 from ..plans.pipeline import PipelineEngine, run_counts
 from ..session import scratch_path, spread, spread_again, table, written
-from ..streaming import stream_pipeline, term_trends
+from ..streaming import stream_batches, stream_pipeline, term_trends
 from . import model_sql as M
 from . import text
 from .text import _SENT, _TAGGED, _WORDS, _edges, _tagged, _vocab, _words, nb_posteriors
@@ -147,6 +147,14 @@ def nearest_words(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(model, model, "word", "vector", 5).select("query", "neighbour", F.round("similarity", 4).alias("similarity"), "rank")
 
 
+def embedding_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Likeness of the model's commonest word to the next ones, and to an unknown one."""
+    model = _whole_model(spark, d)
+    words = [r.word for r in model.orderBy("rank").limit(4).collect()]
+    pairs = [(words[0], w) for w in words[1:]] + [(words[0], "?")]
+    return spark.createDataFrame([(a, b, round(vectors.word_similarity(model, a, b), 6)) for a, b in pairs], "a string, b string, similarity double")
+
+
 STAGES = ("clean", "segment", "pos", "ner", "sentiment", "keywords", "summary", "translate", "parse")
 
 
@@ -190,6 +198,15 @@ def stream_sentiment(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").select("id", "ok", F.size("output.words").alias("words"), "output.sentiment.score", "output.sentiment.polarity")
 
 
+def stream_batch_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents done and failed as the batches of a stream over the corpus report them."""
+    path = scratch_path(spark, "batches")
+    source = spark.readStream.schema(table(spark, d, "corpus").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/corpus.parquet*")
+    reported: list[tuple[int, int, int]] = []
+    stream_batches(source.select("id", "text"), PipelineEngine().build({"stages": [{"name": "clean"}]}), f"{path}/checkpoint", lambda *x: reported.append(x), f"{path}/out").awaitTermination()
+    return spark.createDataFrame([(sum(x[1] for x in reported), sum(x[2] for x in reported))], "succeeded long, failed long")
+
+
 def stream_trends(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of every word of the segment results by day, counted on a stream."""
     schema = table(spark, d, "segment").schema
@@ -214,8 +231,8 @@ def viterbi_tags(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     segment_words, pos_tags, entities, phrase_trees, translate_zh_en, keywords_hybrid, keywords_textrank, summary_extract, annotate_entities, pagerank_terms,
-    nearest_vectors, centroid_assign, kmeans_clusters, pca_2d, embeddings_train, embedding_products, nearest_words, pipeline_batch, pipeline_counts, pipeline_trees,
-    stream_sentiment, stream_trends, viterbi_tags,
+    nearest_vectors, centroid_assign, kmeans_clusters, pca_2d, embeddings_train, embedding_products, embedding_similarity, nearest_words, pipeline_batch, pipeline_counts, pipeline_trees,
+    stream_sentiment, stream_batch_counts, stream_trends, viterbi_tags,
 )}
 
 _DOUBLE = "embedding::DOUBLE[]"
@@ -311,6 +328,12 @@ ORACLES = {
         c AS (SELECT p.term AS query, q.term AS neighbour, coalesce(s / (a.n * b.n), 0.0) AS s FROM vocab p JOIN vocab q ON p.term <> q.term LEFT JOIN g ON g.x = p.term AND g.y = q.term LEFT JOIN n a ON a.x = p.term LEFT JOIN n b ON b.x = q.term),
         places AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, neighbour)::INT AS rank FROM c)
         SELECT query, neighbour, round(s, 4) AS similarity, rank FROM places WHERE rank <= 5""",
+    "embedding_similarity": f"""
+        WITH {_TRAINING}, m AS (SELECT src, dst, ppmi FROM ppmi WHERE ppmi > 0), n AS (SELECT src, sqrt(sum(ppmi * ppmi)) AS n FROM m GROUP BY src),
+        p AS (SELECT a.term AS a, b.term AS b FROM vocab a JOIN vocab b ON a.rank = 1 AND b.rank BETWEEN 2 AND 4)
+        SELECT p.a, p.b, round(coalesce((SELECT sum(x.ppmi * y.ppmi) FROM m x JOIN m y USING (dst) WHERE x.src = p.a AND y.src = p.b) / ((SELECT n FROM n WHERE src = p.a) * (SELECT n FROM n WHERE src = p.b)), 0.0), 6) AS similarity FROM p
+        UNION ALL SELECT DISTINCT a, '?', 0.0 FROM p""",
+    "stream_batch_counts": "SELECT count(*) AS succeeded, 0::BIGINT AS failed FROM corpus",
     "pipeline_counts": """
         SELECT count(*) AS doc_count, count(*) FILTER (length(text) % 3 <> 0) AS succeeded, count(*) FILTER (length(text) % 3 = 0) AS failed FROM (SELECT min(text) AS text FROM corpus WHERE text IS NOT NULL GROUP BY id)""",
     "pipeline_trees": f"""

@@ -15,6 +15,8 @@ from ..sources.uploads import decode_files
 from . import model_sql as M
 from .text import _strip
 
+#: Corpus documents that engine_texts asks for.
+ASKED = ("corpus_5", "corpus_2", "nowhere", "corpus_5", "corpus_1")
 TASKS = ("corpus", "segment", "keywords", "ner", "parse", "translation", "pipeline_run")
 
 
@@ -161,6 +163,23 @@ def engine_documents(spark: SparkSession, d: str) -> DataFrame:
     return engine.documents()
 
 
+def engine_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of corpus documents named in an order of their own, one of them twice and one unknown."""
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    rows = table(spark, d, "corpus").filter("text is not null and id is not null").groupBy("id").agg(F.max("text").alias("text"))
+    engine.corpus.insert_frame(rows)
+    return engine.texts([*ASKED]).select("place", "id", F.length("text").alias("length"))
+
+
+def engine_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects' descriptions (a fixed table of a few rows) uploaded as bytes of several encodings: their texts and lengths."""
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    rows = table(spark, d, "subjects").filter("description is not null and trim(description) <> ''").orderBy("subject").collect()
+    sent = {engine.upload(f" {r.description}\n".encode(("utf-8", "gb18030", "utf-16")[i % 3]), r.subject)["id"]: i for i, r in enumerate(rows)}
+    assert len(sent) == len(rows)
+    return engine.documents().select("name", "length", "preview")
+
+
 def engine_entity_results(spark: SparkSession, d: str) -> DataFrame:
     """Stored ner results in an engine: a page of those with some person, in order of their time."""
     engine = Engine(spark, scratch_path(spark, "engine"))
@@ -180,7 +199,7 @@ def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return s.query([("text", "ne", None)]).select("id", F.length(F.get_json_object("body", "$.text")).alias("length"))
 
 
-QUERIES = {f.__name__: f for f in (store_filter_sort_page, store_predicates, store_live_after_delete, store_stats, corpus_listing, resolved_texts, results_with_type, result_tasks, run_outcomes, upload_decode, store_roundtrip, store_natural_order, store_shards, store_tasks, engine_results, engine_documents, engine_entity_results)}
+QUERIES = {f.__name__: f for f in (store_filter_sort_page, store_predicates, store_live_after_delete, store_stats, corpus_listing, resolved_texts, results_with_type, result_tasks, run_outcomes, upload_decode, store_roundtrip, store_natural_order, store_shards, store_tasks, engine_results, engine_documents, engine_texts, engine_uploads, engine_entity_results)}
 
 ORACLES = {
     "store_filter_sort_page": """
@@ -223,6 +242,11 @@ ORACLES = {
         SELECT 'segment' AS task, id AS corpus_id, n FROM c UNION ALL SELECT 'pos', id, n FROM c""",
     "engine_documents": """
         SELECT id, coalesce(name, '未命名') AS name, length(text)::INT AS length, created_at, substring(text, 1, 80) AS preview FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY text DESC, created_at DESC NULLS LAST) AS r FROM corpus WHERE text IS NOT NULL AND id IS NOT NULL) WHERE r = 1""",
+    "engine_texts": f"""
+        WITH asked(place, id) AS (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(ASKED))}), c AS (SELECT id, max(text) AS text FROM corpus WHERE text IS NOT NULL GROUP BY id)
+        SELECT place, id, length(text)::INT AS length FROM asked JOIN c USING (id)""",
+    "engine_uploads": f"""
+        SELECT subject AS name, length({_strip('description')})::INT AS length, substring({_strip('description')}, 1, 80) AS preview FROM subjects WHERE trim(description) <> ''""",
     "engine_entity_results": """
         WITH o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC, _created DESC NULLS LAST) AS r FROM ner WHERE id IS NOT NULL AND created_at IS NOT NULL)
         SELECT id, created_at FROM o WHERE r = 1 AND len(list_filter(result.entities, lambda e: e.type = 'PERSON')) > 0 ORDER BY created_at DESC, id LIMIT 150 OFFSET 5""",

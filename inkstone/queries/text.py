@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ENGLISH_TOKEN, GRAM_BREAKS, SPACE_CLASS, TOKEN_PATTERN, has_han, sentences, single_spaced, tokens, without_stop_words
+from ..functions.text import ENGLISH_TOKEN, GRAM_BREAKS, SPACE_CLASS, TOKEN_PATTERN, english_sentence, has_han, label, map_cosine, sentences, single_spaced, tokens, without_stop_words
 from ..models.entities import PATTERNS
 from ..models import kernels as K
 from ..models.lexicon import DEFAULT
@@ -147,9 +147,27 @@ def entity_pattern_counts(spark: SparkSession, d: str) -> DataFrame:
     return once.select("id", *found)
 
 
+NAMED = {"zh->en": "Chinese to English", "en->zh": "English to Chinese"}
+
+
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Translations as English sentences, and the names of their directions."""
+    once = table(spark, d, "translation").filter("id is not null").groupBy("id").agg(F.max(F.struct("result.translation", "result.direction")).alias("r"))
+    return once.select("id", english_sentence("r.translation").alias("sentence"), label("r.direction", NAMED).alias("direction"))
+
+
+def keyword_likeness(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of each record's keywords by score and by frequency, as sparse vectors."""
+    k = table(spark, d, "keywords").select("id", F.explode("result.keywords").alias("k")).filter("k.word is not null")
+    number = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+    best = k.groupBy("id", "k.word").agg(F.max(number(F.col("k.score"))).alias("score"), F.max(number(F.col("k.freq"))).alias("freq"))
+    maps = best.groupBy("id").agg(*(F.map_from_entries(F.collect_list(F.struct("word", c))).alias(c) for c in ("score", "freq")))
+    return maps.select("id", F.round(map_cosine("score", "freq"), 6).alias("cosine"))
+
+
 QUERIES = {f.__name__: f for f in (
     sentence_split, tokenize_counts, clean_removed, filtered_words, tfidf_top_terms, vocabulary, cooccurrence_edges, ppmi_pairs, keyword_scaled, new_words,
-    lexicon_sentiment, sentiment_windows, sentiment_bayes, nb_posterior, hmm_tag_counts, dependency, translate_en_zh, entity_pattern_counts,
+    lexicon_sentiment, sentiment_windows, sentiment_bayes, nb_posterior, hmm_tag_counts, dependency, translate_en_zh, entity_pattern_counts, text_functions, keyword_likeness,
 )}
 
 
@@ -232,6 +250,13 @@ _EN_ZH = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in DEFAULT.en_zh.items())
 _NOUNS, _NOMINALS = "('n','ns','nt','nr')", "('n','r','ns','nr','nt')"
 
 ORACLES = {
+    "text_functions": f"""
+        WITH r AS (SELECT id, max({{'t': result.translation, 'd': result.direction}}) AS r FROM translation WHERE id IS NOT NULL GROUP BY id), s AS (SELECT id, {_strip('r.t')} AS s, r.d AS d FROM r)
+        SELECT id, CASE WHEN s = '' THEN s ELSE upper(s[1]) || s[2:] || CASE WHEN regexp_matches(s, '[.!?]$') THEN '' ELSE '.' END END AS sentence, CASE d {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMED.items())} ELSE d END AS direction FROM s""",
+    "keyword_likeness": """
+        WITH k AS (SELECT id, unnest(result.keywords) AS k FROM keywords),
+        b AS (SELECT id, k.word, max(CASE WHEN isnan(k.score) THEN 0.0 ELSE coalesce(k.score, 0.0) END) AS s, max(CASE WHEN isnan(k.freq) THEN 0.0 ELSE coalesce(k.freq, 0.0) END) AS f FROM k WHERE k.word IS NOT NULL GROUP BY id, k.word)
+        SELECT id, round(coalesce(sum(s * f) / nullif(sqrt(sum(s * s)) * sqrt(sum(f * f)), 0.0), 0.0), 6) AS cosine FROM b GROUP BY id""",
     "sentence_split": f"""
         WITH parts AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?]){_SPACES}', '\\1' || chr(10), 'g'), '[。！？!?；;' || chr(10) || ']+'), lambda p: {_strip('p')}), lambda p: p <> '') AS s FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS pos, unnest(s) AS sentence FROM parts""",
