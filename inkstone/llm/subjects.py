@@ -23,11 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import constant_map
 from ..session import spread, written
 from .sentences import sentence_spans
 
 #: Columns of the hashed vocabulary; labelled documents the fit starts from, at most; rounds over these, and over all.
 VOCABULARY, MAX_LABELLED, LABELLED_ROUNDS, ROUNDS = 1 << 17, 20_000, 4, 1
+#: Topics of each subject; rounds of topics that start at random.
+TOPICS, RANDOM_ROUNDS = 1, 20
 #: Smoothing of topics and mixtures; share of the mixture that a label's subjects are expected to have.
 BETA, ALPHA, LABEL_SHARE = 0.02, 0.3, 0.9
 #: Posterior from which a sentence of a document without labels counts towards the topics.
@@ -117,9 +120,15 @@ def _topics(counts: np.ndarray) -> np.ndarray:
     return (weighted * (1 - entropy)).astype(np.float32)
 
 
-def _round(docs: DataFrame, log_topics: np.ndarray) -> np.ndarray:
-    """One round of expectation-maximisation over (words, sizes, label_mask) rows: expected counts of each word in each topic."""
+def _round(docs: DataFrame, log_topics: np.ndarray, seeds: np.ndarray, scatter: bool = False, sure: float = SURE) -> np.ndarray:
+    """One round of expectation-maximisation over (words, sizes, labels) rows: expected counts of each word in each topic.
+
+    seeds: the subject that each topic was started from; labels: a document's subjects, which its mixture is expected to be of,
+    or empty. scatter: of a subject's topics, expect one only, by the document's words, so that they begin to differ. sure: the
+    posterior from which sentences of documents without labels count.
+    """
     k = log_topics.shape[1]
+    per_subject = k // (int(seeds.max()) + 1)
     model = docs.sparkSession.sparkContext.broadcast(log_topics)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +140,20 @@ def _round(docs: DataFrame, log_topics: np.ndarray) -> np.ndarray:
                 if not len(d.sizes):
                     continue
                 prior = np.full((d.n_docs, k), ALPHA)
-                masks = batch.column(2).to_numpy(zero_copy_only=False)
-                for i in np.flatnonzero(masks > 0):
-                    own = (int(masks[i]) >> np.arange(k)) & 1
-                    sure = 20.0 * max(1, d.n_sentences[i])
-                    prior[i] = sure * np.where(own, LABEL_SHARE / own.sum(), (1 - LABEL_SHARE) / max(1, k - own.sum()))
+                labels = batch.column(2).to_pylist()
+                free = np.array([not x for x in labels])
+                for i in np.flatnonzero(~free):
+                    own = np.isin(seeds, labels[i])
+                    if scatter:
+                        words = batch.column(0)[i].values.to_numpy(zero_copy_only=False)
+                        own &= np.arange(k) % per_subject == (int(words.min()) if len(words) else 0) % per_subject
+                    expected = 20.0 * max(1, d.n_sentences[i])
+                    prior[i] = expected * np.where(own, LABEL_SHARE / max(1, own.sum()), (1 - LABEL_SHARE) / max(1, k - own.sum()))
                 p = d.posterior(topics, prior)
-                p[(masks[d.doc] == 0) & (p.max(1) < SURE)] = 0.0
+                # topics of one subject share what is sure of it
+                best = np.zeros((len(p), seeds.max() + 1))
+                np.add.at(best.T, seeds, p.T)
+                p[free[d.doc] & (best.max(1) < sure)] = 0.0
                 flat = p[d.sentence]
                 for j in range(k):
                     counts[:, j] += np.bincount(d.words, flat[:, j], VOCABULARY)
@@ -146,7 +162,7 @@ def _round(docs: DataFrame, log_topics: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(counts[part, j]) for j in range(k))], ["word", *(f"t{j}" for j in range(k))])
 
     schema = "word int, " + ", ".join(f"t{j} double" for j in range(k))
-    sums = docs.select("words", "sizes", "mask").mapInArrow(run, schema).groupBy("word").agg(*(F.sum(f"t{j}").alias(f"t{j}") for j in range(k))).toPandas()
+    sums = docs.select("words", "sizes", "labels").mapInArrow(run, schema).groupBy("word").agg(*(F.sum(f"t{j}").alias(f"t{j}") for j in range(k))).toPandas()
     model.unpersist()
     counts = np.zeros((VOCABULARY, k))
     counts[sums["word"].to_numpy()] = sums.drop(columns="word").to_numpy()
@@ -166,19 +182,19 @@ def name_topics(counts: np.ndarray, labelled: np.ndarray, top: int = 200) -> np.
     return np.array(names)
 
 
-def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text", rest: str = "other", least: float = 1 / 3, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text", rest: str = "other", least: float = 1 / 3, max_labelled: int = MAX_LABELLED, topics: int = TOPICS, seeded: bool = True) -> DataFrame:
     """(doc_id, subject, share) of every document with text: each subject with at least `least` of its sentences, else `rest`.
 
     labels: (doc_id, subject) rows, repeated ones count once, those of unknown subjects or documents not at all; the
     documents of at most `max_labelled` of them (by hash) start the fit. Without any labels every document is `rest`.
-    Null and blank texts have no row. Documents of one key are each assigned for themselves.
+    topics: of each subject. seeded: start topics from the labelled documents; else from random ones, so that labels only name
+    the topics that the corpus gives. Null and blank texts have no row. Documents of one key are each assigned for themselves.
     """
     names = sorted(r.subject for r in subjects.select("subject").filter("subject is not null").distinct().collect())
     if rest not in names:
         names.append(rest)
     k = len(names)
-    if k > 62:
-        raise ValueError("at most 62 subjects")
+    seeds = np.repeat(np.arange(k), topics)
     source = spread(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text is not null"), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,37 +212,46 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     id_type = source.schema["doc_id"].dataType.simpleString()
     docs = written(source.mapInArrow(features, f"doc_id {id_type}, words array<int>, sizes array<int>"), "subjects-words")
 
-    bit = F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(1 << i).cast("long"))))
-    masks = labels.select("doc_id", bit[F.lower(F.trim("subject"))].alias("s")).filter("s is not null and doc_id is not null").distinct().groupBy("doc_id").agg(F.sum("s").alias("mask"))
-    n_labelled = masks.count()
+    number = constant_map({n: i for i, n in enumerate(names)}, "map<string,int>")
+    known = labels.select("doc_id", F.try_element_at(number, F.lower(F.trim("subject"))).alias("s")).filter("s is not null and doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("labels"))
+    n_labelled = known.count()
     if n_labelled > max_labelled:
-        masks = masks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n_labelled))
-    masks = F.broadcast(masks)  # of about max_labelled rows at most
-    labelled = written(docs.join(masks, "doc_id"), "subjects-labelled")
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n_labelled))
+    known = F.broadcast(known)  # of about max_labelled rows at most
+    labelled = written(docs.join(known, "doc_id"), "subjects-labelled")
 
-    uniform = np.full((VOCABULARY, k), 1.0)
-    counts = _round(labelled, _topics(uniform))
+    uniform = np.full((VOCABULARY, k * topics), 1.0)
+    counts = _round(labelled, _topics(uniform), seeds, scatter=topics > 1)
     if not counts.any():
         return docs.select("doc_id", F.lit(rest).alias("subject"), F.lit(1.0).alias("share"))
+    # what the labels say of each word, by which topics are named
+    of_subject = counts.reshape(VOCABULARY, k, topics).sum(2)
+    everything = docs.join(known, "doc_id", "left").select("words", "sizes", F.coalesce("labels", F.array().cast("array<int>")).alias("labels"))
     evidence = counts
-    for _ in range(LABELLED_ROUNDS - 1):
-        evidence = counts = _round(labelled, _topics(counts))
-    everything = docs.join(masks, "doc_id", "left").select("words", "sizes", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-    for _ in range(ROUNDS):
-        found = _round(everything, _topics(counts))
+    for _ in range(LABELLED_ROUNDS - 1 if seeded else 0):
+        evidence = counts = _round(labelled, _topics(counts), seeds)
+    for _ in range(ROUNDS if seeded else 0):
+        found = _round(everything, _topics(counts), seeds)
         counts = found + ANCHOR * found.sum() / evidence.sum() * evidence
-    subject_of = name_topics(counts, evidence)
+    if not seeded:
+        free = everything.withColumn("labels", F.array().cast("array<int>"))
+        counts = np.random.default_rng(7).gamma(0.1, 1.0, counts.shape)
+        for _ in range(RANDOM_ROUNDS):
+            counts = _round(free, _topics(counts), seeds, sure=0.0)
+    subject_of = name_topics(counts, of_subject)
     model = documents.sparkSession.sparkContext.broadcast((_topics(counts), subject_of))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        topics, subject = model.value
+        log_topics, subject = model.value
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
                 d = _Docs(batch.column(1), batch.column(2))
                 if not d.n_docs:
                     continue
-                p = d.posterior(topics, np.full((d.n_docs, k), ALPHA))
-                best = subject[p.argmax(1)]
+                p = d.posterior(log_topics, np.full((d.n_docs, log_topics.shape[1]), ALPHA))
+                of_sentence = np.zeros((len(p), k))
+                np.add.at(of_sentence.T, subject, p.T)
+                best = of_sentence.argmax(1)
                 best[d.sizes == 0] = names.index(rest)
                 share = np.zeros((d.n_docs, k))
                 np.add.at(share, (d.doc, best), 1.0)
