@@ -54,6 +54,7 @@ ORDINAL_DE = "am im der den dem des die das vom zum zur bis seit ab jeden jedem
 GOES_ON_ZH = ("然后", "接着", "随后", "之后", "于是", "就", "便", "才", "又", "并", "的", "了", "是", "说", "问", "道", "也", "都", "却")
 
 _NEVER = {language: frozenset(words.split()) for language, words in NEVER.items()}
+_SOMEWHERE = frozenset().union(*_NEVER.values())
 _FUNCTION = {language: frozenset(words.split()) for language, words in FUNCTION_WORDS.items()}
 _LATIN_WORD = regex.compile(r"[\p{Latin}\p{M}]+")
 _CYRILLIC, _DEVANAGARI = regex.compile(r"\p{Cyrillic}"), regex.compile(r"\p{Devanagari}")
@@ -77,8 +78,10 @@ _CLOSERS = regex.compile(r"[\p{SB=Close}]*", regex.V1)
 _CONTINUES = regex.compile(r"[,，、;；:：]")
 _WORD = regex.compile(r"[[\p{L}\p{M}\p{N}.'’_\-]--[\p{Han}\p{Hiragana}\p{Katakana}]]*$", regex.V1)
 _NEXT_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_DOTTED = regex.compile(r"(?:\p{L}\.)+\p{L}")
 _LETTER = regex.compile(r"\p{L}")
 _THAI_GAP = regex.compile(r"(?<=[\u0e00-\u0eff])\s+(?=[\u0e00-\u0eff一-鿿぀-ヿऀ-ॿ])")
+_THAI_OR_LAO = regex.compile(r"[\u0e00-\u0eff]")
 _KHMER = regex.compile(r"[\u1780-\u17d3]")
 _GAP = regex.compile(r"(?<=[^\s\p{N}])\s+(?=[^\s\p{N}])")
 _HAN, _KANA = regex.compile(r"[一-鿿]"), regex.compile(r"[぀-ヺー-ヿ]")
@@ -228,8 +231,7 @@ def _dot_ends(block: str, start: int, dot: int, end: int, rest: int, nx: str, ga
         return bool(nx) and nx.isupper() and _begins_sentence(block, rest, _languages(block, start, dot))
     if low in _NEVER["any"]:
         return False
-    languages = _languages(block, start, dot) if len(low) < 9 else []
-    if any(low in _NEVER.get(x, ()) for x in languages):
+    if low in _SOMEWHERE and any(low in _NEVER.get(x, ()) for x in _languages(block, start, dot)):
         return False
     if low in _NUMBERED:
         return not nx.isdigit()
@@ -245,11 +247,12 @@ def _dot_ends(block: str, start: int, dot: int, end: int, rest: int, nx: str, ga
         nx_word = _NEXT_WORD.match(block, rest)
         return nx.isupper() and not (nx_word and nx_word.group().lower() in _DAYS) or not nx
     if len(low) == 1 and low.isalpha() and low.isascii():
+        languages = _languages(block, start, dot)
         if word == "I" and languages == ["en"]:
             return True
         # an initial, or a part of an abbreviation, unless the next word is no name
         return nx.isupper() and bool(_NEXT_WORD.match(block, rest)) and len(_NEXT_WORD.match(block, rest).group()) > 1 and _begins_sentence(block, rest, languages)
-    if regex.fullmatch(r"(?:\p{L}\.)+\p{L}", low):
+    if _DOTTED.fullmatch(low):
         return False
     if word.isdigit() and len(word) <= 2 and nx.isupper():
         nx_word = _NEXT_WORD.match(block, rest)
@@ -282,14 +285,19 @@ def _quotation_ends(block: str, start: int, opener: int, end: int, rest: int, nx
     return False
 
 
+def _unmarked(text: str) -> bool:
+    """Whether a text is rather in a script that can do without end marks than in one with capitals."""
+    letters = max(len(_HAN.findall(text)), len(_KHMER.findall(text)))
+    return letters > 0 and letters >= len(_CASED.findall(text))
+
+
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of every sentence of a text, without surrounding white space; [] for null, empty and blank texts."""
     if not text:
         return []
     spans: list[tuple[int, int]] = []
-    han = len(_HAN.findall(text))
-    bare = (han > 0 or _KHMER.search(text) is not None) and not _SOME_MARK.search(text) and not _KANA.search(text) and max(han, len(_KHMER.findall(text))) >= len(_CASED.findall(text))
-    thai = any("\u0e00" <= c <= "\u0eff" for c in text)  # and Lao
+    bare = not _SOME_MARK.search(text) and not _KANA.search(text) and _unmarked(text)
+    thai = _THAI_OR_LAO.search(text) is not None
     edges = [0]
     for m in _BLANK.finditer(text):
         edges += [m.start(), m.end()]
