@@ -95,9 +95,27 @@ class CentroidGraph:
             s = self.c[i : i + 1024] @ self.c.T
             s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
             if links:
-                self.links[i : i + 1024] = np.argpartition(-s, links - 1, axis=1)[:, :links]
+                near = np.argpartition(-s, links - 1, axis=1)[:, :links]
+                order = np.argsort(-np.take_along_axis(s, near, 1), axis=1)
+                self.links[i : i + 1024] = np.take_along_axis(near, order, 1)
+        if links:
+            self.links = np.concatenate([self.links, self._back_links(min(links, 12))], axis=1)
         rng = np.random.default_rng(seed)
-        self.pivots = np.sort(rng.choice(n, min(n, max(8, int(4 * np.sqrt(n)))), replace=False)).astype(np.int32)
+        self.pivots = np.sort(rng.choice(n, min(n, max(8, int(12 * np.sqrt(n)))), replace=False)).astype(np.int32)
+
+    def _back_links(self, width: int) -> np.ndarray:
+        """From each centroid to some for which it is among the nearest: without these, one that is nobody's neighbour is not found."""
+        n = len(self.links)
+        back = np.repeat(self.links[:, :1], width, axis=1)
+        used = np.zeros(n, np.int64)
+        linked = [set(row) for row in self.links.tolist()]
+        for rank in range(min(6, self.links.shape[1])):
+            for i, j in enumerate(self.links[:, rank].tolist()):
+                if used[j] < width and i not in linked[j]:
+                    back[j, used[j]] = i
+                    used[j] += 1
+                    linked[j].add(i)
+        return back
 
     def search(self, q: np.ndarray, r: int, beam: int = 16, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the about r nearest centroids of each query, best first; id -1 for none."""
