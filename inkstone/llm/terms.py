@@ -8,7 +8,6 @@ aggregated by a DuckDB of bounded memory.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
